@@ -17,6 +17,13 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.token_store import round_trip
+    from lexora.llm.vocab import vocabulary_path
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.warc import round_trip
 
@@ -30,7 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_warc, op7_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op4_warc, op7_html_text, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
