@@ -11,6 +11,13 @@ from lexora.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.packing import pack
+    from lexora.llm.vocab import vocabulary_path
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.html_text import extract
 
@@ -37,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op4_warc, op7_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op4_warc, op6_packing, op7_html_text, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
