@@ -69,6 +69,11 @@ def unstage(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df over all shuffle partitions by columns, for rows that stand for much work: adaptive execution doesn't merge these."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in columns])
+
+
 def text_of(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

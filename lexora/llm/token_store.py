@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import filesystem, shared_dir, stage, unstage, write_atomically
+from lexora.llm.common import dealt, filesystem, shared_dir, stage, unstage, write_atomically
 from lexora.llm.vocab import batched, encoder
 
 HASH_BYTES = 12
@@ -240,7 +240,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, width: int = 2, id_col:
     home = index.groupBy("name").agg(F.min("pack").alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "home")
     # a list per pack is bounded by the chunks that the pack holds
     lost = index.select("pack", "name").join(home, "name").where("pack <> home").groupBy("pack").agg(F.collect_list("name").alias("lost"))
-    packs = stage(heads.join(lost, "pack", "left").mapInArrow(_compactor, "pack string, names binary, offsets binary, away array<binary>"), "packs")
+    packs = stage(dealt(heads.join(lost, "pack", "left"), "pack").mapInArrow(_compactor, "pack string, names binary, offsets binary, away array<binary>"), "packs")
     return wrote, packs
 
 
@@ -254,7 +254,7 @@ def read_store(recipes: DataFrame, packs: DataFrame, width: int = 2) -> DataFram
     lists = recipes.groupBy("pack").agg(F.collect_list(F.struct("seq", "doc_id", "n_tokens", "recipe", "root")).alias("recipes"))
     none = F.array().cast("array<struct<name:binary,home:string,offset:bigint,size:bigint>>")
     work = own.join(away, "pack", "left").join(lists, "pack").select("pack", "names", "offsets", F.coalesce("away", none).alias("away"), "recipes")
-    return work.mapInArrow(_reader(width), "pack string, seq int, doc_id long, n_tokens long, ids_crc32 long")
+    return dealt(work, "pack").mapInArrow(_reader(width), "pack string, seq int, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame, order: list[str], size: str, start: str = "start") -> DataFrame:
