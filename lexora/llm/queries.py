@@ -31,6 +31,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.warc import round_trip
 
@@ -44,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op4_warc, op6_packing, op7_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op6_packing, op7_html_text, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
