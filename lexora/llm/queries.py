@@ -43,6 +43,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.sketches import edited
+
+    return edited(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.toxicity import score, train
 
@@ -50,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op6_packing, op7_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
