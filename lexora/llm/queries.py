@@ -11,6 +11,12 @@ from lexora.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.packing import pack
     from lexora.llm.vocab import vocabulary_path
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op5_pii, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
