@@ -37,6 +37,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.simhash import near_duplicates
 
@@ -62,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_simhash, op4_warc, op5_pii, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_simhash, op4_warc, op5_pii, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
