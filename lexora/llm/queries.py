@@ -55,6 +55,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexora.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.llm.sketches import edited
 
@@ -68,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_simhash, op4_warc, op5_pii, op6_packing, op7_html_text, op9_sketches, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_simhash, op4_warc, op5_pii, op6_packing, op7_html_text, op8_substrings, op9_sketches, op10_toxicity)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
