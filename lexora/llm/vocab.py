@@ -40,7 +40,7 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """max_words bounds the cache of a worker: it is emptied when full."""
+    """max_words bounds the caches of a worker: one is emptied when full."""
 
     def __init__(self, path: str, max_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,14 +48,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.lowers = self.library.normalizer is not None
         self.pattern = regex.compile(_WORD_PATTERN if self.lowers else _BYTE_PATTERN)
-        self.odd = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85]" if self.lowers else r"<\||\s\s|[\x1c-\x1f]")
-        self.special = re.compile("[^\x00-ɏ]")
+        self.odd = re.compile(r"[\x0b\x0c\x1c-\x1f\x85]")
+        self.special = re.compile("[^\x00-\u024f]")
         self.bytes = byte_table()
         self.max_words = max_words
-        self.sub: dict[str, tuple] = {}
+        self.sub: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -64,47 +64,69 @@ class Encoder:
         self.used = 0
         self.start: list[int] = []
 
-    def _of_sub(self, part: str) -> tuple:
-        ids = self.sub.get(part)
-        if ids is None:
-            mapped = part.encode().decode("latin1").translate(self.bytes)
-            ids = self.sub[part] = tuple([t.id for t in self.model.tokenize(mapped)])
-        return ids
-
-    def _of_word(self, word: str) -> tuple | list[int]:
+    def _parts(self, word: str) -> list[str]:
+        """The pre-tokens of a cut piece. Pieces come without the space before them; that of a text's start is marked by \\x00."""
         if self.lowers:
-            if self.special.search(word):
-                return self.library.encode(word, add_special_tokens=False).ids
             if not word.isascii():
                 word = unicodedata.normalize("NFC", word)
             word = word.lower()
-        sub, ids = self.sub, ()
-        for part in [word] if word.isalpha() or (word[:1] == " " and word[1:].isalpha()) else self.pattern.findall(word):
-            got = sub.get(part)
-            ids += self._of_sub(part) if got is None else got
-        return ids
+            return [word] if word.isalpha() else self.pattern.findall(word)
+        if word[:1] == "\x00":
+            return self.pattern.findall(word[1:])
+        word = " " + word
+        return [word] if word[1:].isalpha() else self.pattern.findall(word)
 
     def _learn(self, words: list[str]) -> None:
-        got = [self._of_word(w) for w in words]
+        whole = {w for w in words if self.special.search(w)} if self.lowers else ()
+        split = [[] if w in whole else self._parts(w) for w in words]
+        sub = self.sub
+        new = list({part for parts in split for part in parts if part not in sub})
+        if new:
+            # one mapping to the byte alphabet for all; the mark between them stands for a byte that they don't hold
+            blob = "\x00".join(new)
+            marked = blob.count("\x00") == len(new) - 1
+            mapped = blob.encode("utf-8").decode("latin1").translate(self.bytes).split(self.bytes[0]) if marked else [x.encode().decode("latin1").translate(self.bytes) for x in new]
+            tokenize = self.tokenize
+            sub.update(zip(new, [[t.id for t in tokenize(m)] for m in mapped]))
+        got = [sub[p[0]] if len(p) == 1 else [i for part in p for i in sub[part]] for p in split]
+        if whole:
+            got = [self.library.encode(w, add_special_tokens=False).ids if w in whole else ids for w, ids in zip(words, got)]
         flat = np.array([i for ids in got for i in ids], np.uint32)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        at, n = self.used, len(self.code)
-        for k, (word, ids) in enumerate(zip(words, got)):
-            self.code[word] = n + k
-            self.start.append(at)
-            at += len(ids)
-        self.used = at
-
-    def _words(self, text: str) -> list[str]:
+        n = len(self.code)
+        self.code.update(zip(words, range(n, n + len(words))))
+        self.start += (np.cumsum([0, *map(len, got)])[:-1] + self.used).tolist()
+        self.used += len(flat)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Where every pre-tokenizer cut is sure; None if it is not."""
+        if "<|" in text or "\x00" in text:
+            return None
+        fields = text.split()
         if self.lowers:
-            return text.split()
-        head, *rest = text.split(" ")
-        return [head, *[" " + w for w in rest]] if rest else [head]
+            return None if self.odd.search(text) else fields
+        # single spaces and line feeds between words only: else white space may join in other ways
+        if len(fields) != text.count(" ") + text.count("\n") + 1:
+            return None
+        pieces = text.split(" ")
+        pieces[0] = "\x00" + pieces[0]
+        return pieces
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
+        distinct = dict.fromkeys(texts)
+        if len(distinct) < len(texts):
+            flat, sizes = self._encode(list(distinct))
+            for k, text in enumerate(distinct):
+                distinct[text] = k
+            own = np.array([distinct[t] for t in texts], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            return flat[spread(begin[own], sizes[own])], sizes[own]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.sub) > self.max_words:
             self.sub = {}
         if len(self.code) > self.max_words:
@@ -113,10 +135,10 @@ class Encoder:
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if self.odd.search(text):
+            words = self._pieces(text)
+            if words is None:
                 whole[k] = self.library.encode(text, add_special_tokens=False).ids
             else:
-                words = self._words(text)
                 pieces += words
                 counts[k] = len(words)
         found = list(map(self.code.get, pieces))
