@@ -250,3 +250,152 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     found = stage(named.join(ids, "component").select("fp", "component_id"), "classes")
     unstage(nodes)
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- copies by similarity of shingle sets -----------------------------------
+
+
+def agreement(similarity: float) -> float:
+    """The chance that a bit of two SimHashes agrees, for sets of equal size with this Jaccard similarity."""
+    import math
+
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int]:
+    """(width, number) of partitions: wide enough that unlike texts rarely share one, and so many that a pair at the similarity shares one with the chance `recall`."""
+    import math
+
+    width = max(8, min(32, math.ceil(math.log2(max(2, n))) - 2))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** width))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` 64-bit SimHash words from independent mixes of the distinct shingle hashes."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[k] = fingerprint(x ^ (x >> np.uint64(31)))
+    return out
+
+
+def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs_up_to: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__row (the place in docs), doc_id, keeper (the __row of the document of its class that stays).
+
+    A class holds documents linked by a Jaccard similarity of `similarity` or
+    more of their sets of `words`-word shingles. At such a similarity SimHashes
+    differ in a sixth of their bits, so a pigeonhole guarantee would probe
+    nearly everything; instead fingerprints are made so wide that, with all
+    thresholds at zero, a pair at the bound shares one of the partitions with a
+    chance of 0.95, and more similar pairs with more. Candidates are verified
+    on their shingle sets. A bucket of more than `pairs_up_to` texts links each
+    text to the bucket's first and to the one before it in the order of
+    another fingerprint word, in place of all pairs: with dozens of buckets a
+    text, a large group of copies hangs together by many links.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # the number of documents fixes the layout
+    width, number = layout(docs.count(), similarity)
+    n_words = -(-width * number // 64)
+
+    def prints(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            digests, sizes, fps = [], [], []
+            for text in batch.column(2).to_pylist():
+                h = shingle_hashes(text or "", words)
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                h = np.unique(h)
+                sizes.append(len(h))
+                fps.append(wide_fingerprint(h, n_words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary())], ["__row", "doc_id", "digest", "size", "fp"])
+
+    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size int, fp binary"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+    texts = stage(every.groupBy("digest").agg(first, F.first("size").alias("size"), F.first("fp").alias("fp")).select("digest", F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id"), "size", "fp"), "texts")
+
+    def file(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(nodes):
+                continue
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(nodes), -1)
+            bits = np.unpackbits(fp.view(np.uint8).reshape(len(nodes), -1), axis=1, bitorder="little")[:, : width * number].reshape(len(nodes), number, width).astype(np.int64)
+            keys = (bits @ (np.int64(1) << np.arange(width, dtype=np.int64))) + (np.arange(number, dtype=np.int64) << 40)
+            a, b = fp[:, 0].view(np.int64), fp[:, -1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes, number)), pa.array(np.repeat(sizes, number)), pa.array(np.repeat(a, number)), pa.array(np.repeat(b, number))], ["key", "node", "size", "fp", "other"])
+
+    filed = texts.where("size > 0").select("node", "size", "fp").mapInArrow(file, "key long, node long, size int, fp long, other long")
+    counts = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "fp")).alias("lead")).where("n > 1")
+    shared = stage(filed.join(counts, "key"), "buckets")
+    small = shared.where(F.col("n") <= pairs_up_to).select("key", "node", "size", "fp")
+    right = small.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "fp")])
+
+    def near(size_a, fp_a, size_b, fp_b):
+        far = round(BITS * (1 - agreement(similarity)) + 3.5 * (BITS * agreement(similarity) * (1 - agreement(similarity))) ** 0.5)
+        a, b = F.col(size_a), F.col(size_b)
+        return (F.least(a, b) >= similarity * F.greatest(a, b)) & (F.bit_count(F.col(fp_a).bitwiseXOR(F.col(fp_b))) <= far)
+
+    pairs = small.join(right, "key").where((F.col("node") < F.col("r_node")) & near("size", "fp", "r_size", "r_fp")).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
+    from pyspark.sql import Window
+
+    large = shared.where(F.col("n") > pairs_up_to)
+    led = large.where((F.col("node") != F.col("lead.node")) & near("size", "fp", "lead.size", "lead.fp")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    w = Window.partitionBy("key").orderBy("other", "node")
+    chained = large.select("node", "size", "fp", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("node", "size", "fp")]).where(F.col("p_node").isNotNull() & near("size", "fp", "p_size", "p_fp"))
+    chained = chained.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
+    candidates = stage(pairs.unionByName(led).unionByName(chained).distinct(), "candidates")
+    unstage(shared)
+    links = _verified(rows, candidates, words, similarity)
+    parts = components(links)
+    unstage(candidates)
+    classes = texts.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    keep = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("keep"))
+    found = stage(classes.join(keep, "class").select("digest", F.col("keep.node").alias("keeper")), "classes")
+    unstage(texts)
+    return every.select("__row", "doc_id", "digest").join(found, "digest").drop("digest")
+
+
+def _verified(rows: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b) whose shingle sets are similar enough."""
+    wanted = candidates.select(F.col("a").alias("__row")).unionByName(candidates.select(F.col("b").alias("__row"))).distinct()
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [np.unique((shingle_hashes(t or "", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "hashes"])
+
+    held = stage(rows.join(wanted, "__row", "left_semi").select("__row", "text").mapInArrow(sets, "node long, hashes binary"), "sets")
+
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
+
+    met = candidates.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return stage(met.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "verified")
+
+
+def drop_copies(docs: DataFrame, max_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """docs with one document of each class (the smallest id, then the earliest), all columns kept."""
+    gone = stage(copy_classes(docs, **options).where("__row <> keeper").select("__row"), "copies")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    few = gone.count() <= max_broadcast  # 8 bytes each
+    return marked.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
