@@ -53,10 +53,10 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
                 flat, sizes = enc.encode(texts[a:b])
                 ids = np.insert(flat, np.cumsum(sizes), end_id).astype("<u2")
                 ends = np.cumsum(sizes + 1)
-                own = np.repeat(np.arange(b - a, dtype=np.int64), sizes + 1)
-                counts += np.bincount(np.unique(own * size + ids) % size, minlength=size)
                 n_docs, n_ids = n_docs + b - a, n_ids + len(ids)
                 raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1]])
+                held = np.concatenate([distinct(ids[s:e])[0] for s, e in zip(starts.tolist(), ends.tolist())])
+                counts += np.bincount(held, minlength=size)
                 data = [raw[2 * s : 2 * e] for s, e in zip(starts.tolist(), ends.tolist())]
                 none = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(data, pa.binary()), pa.nulls(b - a, pa.binary()), none, none], schema=schema)
@@ -88,16 +88,24 @@ def statistics(staged: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     return out, n["d"] or 0, n["t"] or 0
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids in order, how often each occurs); 16-bit ids are sorted by radix."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
 class Shard:
     """A BM25 inverted index over the documents of a shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75, query_terms: int = 24):
         self.n, size = len(docs), len(idf)
         lengths = np.array([len(d) for d in docs], np.int64)
-        keys = np.repeat(np.arange(self.n, dtype=np.int64), lengths) * size + np.concatenate(docs)
-        keys, tf = np.unique(keys, return_counts=True)
-        own, term = keys // size, keys % size
-        self.bounds = np.searchsorted(own, np.arange(self.n + 1))
+        found = [distinct(d) for d in docs]
+        term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
+        held = np.array([len(t) for t, _ in found])
+        own = np.repeat(np.arange(self.n, dtype=np.int32), held)
+        self.bounds = np.concatenate([[0], np.cumsum(held)])
         self.terms = term
         self.idf, self.query_terms = idf, query_terms
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[own] / mean))
@@ -110,6 +118,7 @@ class Shard:
         terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
         if len(terms) > self.query_terms:
             terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
+        terms = terms.astype(np.int64)
         at = spread(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
         score = np.bincount(self.post[at], self.weight[at], self.n) * unused
         found = np.flatnonzero(score > 0)
