@@ -327,10 +327,10 @@ def collection_order(strings: list[bytes], files_from: int = 64 << 20) -> tuple[
     ends = np.cumsum(lengths)
 
     def before(which: np.ndarray, j: int) -> np.ndarray:
-        """The symbol before the suffix of length j, plus one; 0 at the start of a string."""
-        out = np.zeros(len(which), np.uint16)
+        """The symbol before the suffix of length j, plus one (no byte of UTF-8 is 255); 0 at the start of a string."""
+        out = np.zeros(len(which), np.uint8)
         has = lengths[which] > j
-        out[has] = flat[ends[which[has]] - j - 1].astype(np.uint16) + 1
+        out[has] = flat[ends[which[has]] - j - 1] + np.uint8(1)
         return out
 
     which = np.arange(n)
@@ -346,7 +346,7 @@ def collection_order(strings: list[bytes], files_from: int = 64 << 20) -> tuple[
         place = rank[place]
         total = len(transform) + len(which)
         files = 2 * total > files_from
-        new, new_owner, new_size = _room(total, np.uint16, files), _room(total, np.int32, files), _room(total, np.uint16, files)
+        new, new_owner, new_size = _room(total, np.uint8, files), _room(total, np.int32, files), _room(total, np.uint16, files)
         old = np.ones(total, bool)
         old[place] = False
         new[place], new_owner[place], new_size[place] = before(which, j), which, j
