@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most `rows` whole texts: a worker and the JVM each hold several batches at once."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10_000):  # the default; a chosen value stays
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or where that is unset (tests) a local one."""
     context = spark.sparkContext

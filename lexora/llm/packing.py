@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import spread, stage
+from lexora.llm.common import small_batches, spread, stage
 from lexora.llm.vocab import batched, encoder
 
 WINDOW = 4096
@@ -36,7 +36,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (little-endian 16-bit, with the end id) of each document; beside, rows without ids that carry sums of term counts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         import pyarrow as pa

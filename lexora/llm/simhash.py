@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import stage, unstage
+from lexora.llm.common import small_batches, stage, unstage
 from lexora.llm.components import components
 
 BITS = 64
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
                 fps.append(fingerprint(h)), sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "fp", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, shingles long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, shingles long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -296,7 +296,7 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs
     text, a large group of copies hangs together by many links.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the number of documents fixes the layout
     width, number = layout(docs.count(), similarity)
     n_words = -(-width * number // 64)

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import dealt, filesystem, shared_dir, spread, stage, unstage, write_atomically
+from lexora.llm.common import dealt, filesystem, shared_dir, small_batches, spread, stage, unstage, write_atomically
 
 K = 32
 BLOCK = 4 << 20
@@ -458,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         raise ValueError(f"length must be over {K} and at most 160")
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     asked, gone = shared_dir(spark, "asked"), shared_dir(spark, "gone")
 
     def by_key(df: DataFrame, kind: int) -> DataFrame:

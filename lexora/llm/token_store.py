@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import dealt, filesystem, shared_dir, stage, unstage, write_atomically
+from lexora.llm.common import dealt, filesystem, shared_dir, small_batches, stage, unstage, write_atomically
 from lexora.llm.vocab import batched, encoder
 
 HASH_BYTES = 12
@@ -233,7 +233,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, width: int = 2, id_col:
     """(recipes, packs): a row per document, and a row per pack with its chunk index; files go to the shared folder."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wrote = stage(rows.mapInArrow(_writer(folder, path, end_id, width), "pack string, seq int, doc_id long, n_tokens long, recipe binary, root binary, chunks binary, places binary"), "recipes")
     heads = wrote.where("chunks is not null").select("pack", "chunks", "places")
     index = heads.mapInArrow(_index, _INDEX)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import crc32_mod4
+from lexora.llm.common import crc32_mod4, small_batches
 
 SEEDS = "idiot moron stupid scum loser clown trash pathetic worthless disgusting imbecile dumb dimwit pig vermin filth bastard bitch asshole shit fuck cretin halfwit jerk degenerate subhuman retard creep parasite garbage".split()
 SEED_WEIGHT = 2.0
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(crc32_mod4("doc_id") != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))  # at most max_train rows of 12 bytes
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(picked, "doc_id").select("text", "y")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(picked, "doc_id").select("text", "y")
 
     def count(batches):
         import pyarrow as pa
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; with keep_columns all columns of docs and `toxicity_score`."""
-    parameters = model
+    parameters, docs = model, small_batches(docs)
 
     def run(batches):
         import pyarrow as pa

@@ -42,7 +42,7 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """max_words bounds the caches of a worker: one is emptied when full."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import dealt, filesystem, shared_dir, stage, unstage, write_atomically
+from lexora.llm.common import dealt, filesystem, shared_dir, small_batches, stage, unstage, write_atomically
 
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 100
@@ -217,7 +217,7 @@ def _reader(batches):
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_archive_bytes: int = 32 << 20) -> DataFrame:
     """Write, deduplicate and normalise; one row (archive) per archive in folder."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     index = stage(rows.mapInArrow(_writer(folder, max_archive_bytes), "archive string, seq long, page_id long, digest string, payload_bytes long"), "warc-index")
     large = index.where(F.col("payload_bytes") >= LEAST)
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "archive", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
