@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexora.functions.text import starts
+from lexora.functions.text import bound, running
 from lexora.schema import OFFSETS
 
 
@@ -13,15 +13,16 @@ def blanked(text: Column, pattern: str) -> tuple[Column, Column]:
     """(text with each match as one space, segments of what is kept; NULL where nothing matches)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     every = F.split(text, pattern, -1)
-    clean = F.array_join(every, " ")
-    lead = F.slice(every, F.lit(1), F.size(hits))
-    ends = F.zip_with(starts(lead, hits), hits, lambda s, h: s + F.length(h))
-    kept = F.transform(every, lambda g, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).cast("int").alias("orig"), F.length(g).cast("int").alias("len")))
-    # in the output each run is followed by one space
-    outs = starts(F.transform(every, lambda g: F.lit("")), F.transform(every, lambda g: F.concat(g, F.lit(" "))))
-    segments = F.zip_with(kept, outs, lambda k, o: F.struct(o.cast("int").alias("out"), k["orig"].alias("orig"), k["len"].alias("len")))
-    segments = F.filter(segments, lambda s: s["len"] > 0)
-    return F.when(F.size(hits) > 0, clean).otherwise(text), F.when(F.size(hits) > 0, segments)
+    pieces = F.zip_with(every, hits, lambda g, h: F.struct(F.length(g).alias("kept"), F.coalesce(F.length(h), F.lit(0)).alias("lost")))
+
+    def placed(p: Column) -> Column:
+        # in the output each run is followed by one space
+        outs, origs = running(F.transform(p, lambda x: x["kept"] + 1)), running(F.transform(p, lambda x: x["kept"] + x["lost"]))
+        both = F.zip_with(outs, origs, lambda o, g: F.struct(o.alias("out"), g.alias("orig")))
+        return F.filter(F.zip_with(both, p, lambda b, x: F.struct(b["out"].alias("out"), b["orig"].alias("orig"), x["kept"].alias("len"))), lambda s: s["len"] > 0)
+
+    some = text.rlike(pattern)
+    return F.when(some, F.array_join(every, " ")).otherwise(text), F.when(some, bound(pieces, placed))
 
 
 def translate(segments: Column, offset: Column) -> Column:
@@ -33,20 +34,28 @@ def translate(segments: Column, offset: Column) -> Column:
 
 
 def compose(outer: Column, inner: Column) -> Column:
-    """Segments of two steps together; inner is the later step. Runs that cross a gap are cut at it."""
-    cut = F.flatten(
-        F.transform(
-            inner,
-            lambda x: F.transform(
-                F.filter(outer, lambda y: (y["out"] < x["orig"] + x["len"]) & (x["orig"] < y["out"] + y["len"])),
-                lambda y: F.struct(
-                    (x["out"] + F.greatest(x["orig"], y["out"]) - x["orig"]).alias("out"),
-                    (y["orig"] + F.greatest(x["orig"], y["out"]) - y["out"]).alias("orig"),
-                    (F.least(x["orig"] + x["len"], y["out"] + y["len"]) - F.greatest(x["orig"], y["out"])).alias("len"),
-                ),
-            ),
-        )
+    """Segments of two steps together; inner is the later step. Runs that cross a gap are cut at it.
+
+    A sweep over the starts and ends of both in the middle text: where both are open, the stretch up to the next event is a segment.
+    """
+    edge = lambda at, opens, which, shift: F.struct(at.alias("at"), F.lit(opens).alias("opens"), F.lit(which).alias("which"), shift.alias("shift"))
+    edges = F.concat(
+        F.flatten(F.transform(outer, lambda y: F.array(edge(y["out"], 1, 0, y["orig"] - y["out"]), edge(y["out"] + y["len"], 0, 0, F.lit(0))))),
+        F.flatten(F.transform(inner, lambda x: F.array(edge(x["orig"], 1, 1, x["out"] - x["orig"]), edge(x["orig"] + x["len"], 0, 1, F.lit(0))))),
     )
+
+    def stretches(e: Column) -> Column:
+        last = lambda which: running(F.transform(e, lambda x, i: F.when(x["which"] == which, i).otherwise(-1)), lambda a, b: F.greatest(a, b), -1)
+        both = F.zip_with(last(0), last(1), lambda a, b: F.struct(a.alias("outer"), b.alias("inner")))
+
+        def stretch(x: Column, state: Column, i: Column) -> Column:
+            before, back, ahead = F.get(e, i - 1), F.get(e, state["outer"]), F.get(e, state["inner"])
+            open_ = (state["outer"] >= 0) & (state["inner"] >= 0) & (back["opens"] == 1) & (ahead["opens"] == 1)
+            return F.when(open_, F.struct((before["at"] + ahead["shift"]).alias("out"), (before["at"] + back["shift"]).alias("orig"), (x["at"] - before["at"]).alias("len")))
+
+        return F.filter(F.transform(both, lambda s, i: stretch(F.get(e, i), s, i)), lambda s: s["len"] > 0)
+
+    cut = bound(F.array_sort(edges), stretches)
     return F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(cut)
 
 

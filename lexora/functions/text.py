@@ -5,28 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 128
-
-
-def starts(gaps: Column, hits: Column) -> Column:
-    """Where each hit starts, given what lies before each: sums inside blocks on top of sums of blocks, so long texts cost no square."""
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x))
-    bases = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda a, x: a + x))
-    return F.transform(
-        gaps,
-        lambda g, i: F.get(bases, F.floor(i / BLOCK).cast("int"))
-        + F.aggregate(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
-        + F.length(g),
-    )
+BLOCK_BITS = 5
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once though body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine=lambda a, b: a + b, zero: int = 0) -> Column:
+    """What all integers before each combine to (their sum, or with F.greatest their maximum).
+
+    Each is the result of its block so far on top of that of the blocks before: an accumulator that grows would be copied at every step.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(zero), combine)
+
+    def over(v: Column) -> Column:
+        last = F.shiftright(F.greatest(F.size(v) - 1, F.lit(0)), BLOCK_BITS)
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, F.shiftleft(b, BLOCK_BITS) + 1, F.lit(1 << BLOCK_BITS))))
+        bases = bound(blocks, lambda each: F.transform(each, lambda _, b: fold(F.slice(each, F.lit(1), b))))
+
+        def at(base: Column, i: Column) -> Column:
+            block = F.shiftright(i, BLOCK_BITS)
+            return combine(F.get(base, block), fold(F.slice(v, F.shiftleft(block, BLOCK_BITS) + 1, i - F.shiftleft(block, BLOCK_BITS))))
+
+        return bound(bases, lambda base: F.transform(v, lambda _, i: at(base, i)))
+
+    return bound(values, over)
+
+
+def line_starts(text: Column) -> Column:
+    """Where each line starts."""
+    return running(F.transform(F.split(text, "\n", -1), lambda g: F.length(g) + 1))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,text>> of the matches of a pattern; positions are code points from 0."""
+def spans(text: Column, pattern: str, least: int = 0) -> Column:
+    """array<struct<start,line,column,text>> of the matches of `least` or more characters.
+
+    Starts are code points from 0, lines and columns count from 1; the pattern matches no line break.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    at = F.when(F.size(hits) > 0, starts(gaps, hits)).otherwise(F.array().cast("array<int>"))
-    return F.zip_with(at, hits, lambda s, t: F.struct(s.alias("start"), t.alias("text")))
+    breaks = lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit("")))
+    pieces = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("gap"), breaks(g).alias("lines"), h.alias("text"), F.coalesce(F.length(h), F.lit(0)).alias("size")))
+
+    def placed(p: Column, lines: Column) -> Column:
+        starts = running(F.transform(p, lambda x: x["gap"] + x["size"]))
+        numbers = running(F.transform(p, lambda x: x["lines"]))
+        both = F.zip_with(starts, numbers, lambda s, n: F.struct(s.alias("at"), n.alias("line")))
+
+        def place(x: Column, at: Column) -> Column:
+            start, line = at["at"] + x["gap"], at["line"] + x["lines"]
+            return F.struct(start.alias("start"), (line + 1).alias("line"), (start - F.get(lines, line) + 1).alias("column"), x["text"].alias("text"))
+
+        return F.filter(F.zip_with(p, both, place), lambda t: t["text"].isNotNull() & (F.length(t["text"]) >= least))
+
+    return bound(pieces, lambda p: bound(line_starts(text), lambda lines: placed(p, lines)))
+
+
+def excerpts(text: Column, items: Column, fields: tuple[str, ...], start: str = "start", radius: int = 32) -> Column:
+    """items (structs with a start and a text) with an excerpt each; the text is cut in chunks once, so that no item scans it from its beginning."""
+    size = 256
+    chunks = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("chunks"), F.length(text).alias("length"))
+
+    def one(whole: Column, t: Column) -> Column:
+        begin, length = F.greatest(F.lit(0), t[start] - radius), F.length(t["text"])
+        first = F.floor(begin / size).cast("int")
+        near = F.array_join(F.slice(whole["chunks"], first + 1, (F.floor((length + 2 * radius) / size) + 2).cast("int")), "")
+        return F.struct(*[t[f].alias(f) for f in fields], _excerpt(near, begin - first * size, begin, t[start], length, whole["length"], radius).alias("excerpt"))
+
+    return bound(chunks, lambda whole: F.transform(items, lambda t: one(whole, t)))
+
+
+def _excerpt(near: Column, at: Column, begin: Column, offset: Column, length: Column, whole: Column, radius: int) -> Column:
+    inner = F.trim(F.regexp_replace(near.substr((at + 1).cast("int"), (length + 2 * radius).cast("int")), r"[\p{Z}\t\n\x0B\f\r\x85]++", " "))
+    return F.concat(F.when(begin > 0, "...").otherwise(""), inner, F.when(offset + length + radius < whole, "...").otherwise(""))
 
 
 def is_blank(text: Column) -> Column:
@@ -51,11 +103,9 @@ def column_of(text: Column, offset: Column) -> Column:
 
 
 def excerpt(text: Column, offset: Column, length: Column, radius: int = 32) -> Column:
-    """The text around a word; the window keeps its width where it is clipped at the start."""
+    """The text around one word; the window keeps its width where it is clipped at the start."""
     begin = F.greatest(F.lit(0), offset - radius)
-    inner = F.regexp_replace(text.substr((begin + 1).cast("int"), (length + 2 * radius).cast("int")), r"[\p{Z}\t\n\x0B\f\r\x85]++", " ")
-    inner = F.trim(inner)
-    return F.concat(F.when(begin > 0, "...").otherwise(""), inner, F.when(offset + length + radius < F.length(text), "...").otherwise(""))
+    return _excerpt(text, begin, begin, offset, length, F.length(text), radius)
 
 
 def byte_levenshtein(a: Column, b: Column, most: int | None = None) -> Column:

@@ -20,15 +20,14 @@ SCHEMA_VERSION, FINGERPRINT_SCHEMA = 1, "v1"
 
 
 def build(unknown: DataFrame, most: int = spellers.MAX_SUGGESTIONS) -> DataFrame:
-    """Findings of unknown words (fragment columns, word, offset, parent, suggestions): place in the original, excerpt, fingerprint."""
-    line = T.line_of(F.col("original_text"), F.col("offset"))
-    column = T.column_of(F.col("original_text"), F.col("offset"))
+    """Findings of unknown words (rows of tokenizers.words with excerpts, and suggestions): place, excerpt, fingerprint."""
+    line, column = F.col("original_line"), F.col("original_column")
     place = F.col("location")
     php = F.col("context.source") == "php"
     new_line = F.when(php, place["line"] + line - 1).when(line > 1, place["line"] + line - 1).otherwise(place["line"])
     located = F.when(place.isNotNull(), F.struct(place["path"].alias("path"), new_line.cast("int").alias("line"), F.when(~php, column).alias("column"), place["logical"].alias("logical")))
     rows = unknown.withColumns({"location": located, "suggestions": spellers.formatted(F.col("word"), F.col("suggestions"), F.col("parent"), most)})
-    rows = rows.withColumns({"type": F.lit("spelling"), "severity": F.lit("error"), "excerpt": T.excerpt(F.col("original_text"), F.col("offset"), F.length("word")), "seed": T.seed(F.col("context"))})
+    rows = rows.withColumns({"type": F.lit("spelling"), "severity": F.lit("error"), "seed": T.seed(F.col("context"))})
     return rows.withColumn("fingerprint", T.fingerprint(F.col("seed"), F.col("word"))).select(
         "word", "type", "suggestions", "language", "context", "location", "excerpt", "severity", "fingerprint", "seed", "fragment_id", "word_idx"
     )

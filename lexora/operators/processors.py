@@ -78,10 +78,10 @@ def legacy_plural() -> Processor:
         same = parted.where(~some).drop("__parts")
         parts = parted.where(some).withColumn("__part", F.explode("__parts")).drop("__parts")
         halves = F.split(F.col("__part.raw"), r"\|\|", -1)
-        joined = F.transform(halves, lambda h, i: F.when(i < F.size(halves) - 1, F.concat(h, F.lit("|"))).otherwise(h))
-        outs = T.starts(F.transform(joined, lambda j: F.lit("")), joined)
-        sources = T.starts(F.transform(halves, lambda h: F.lit("")), F.transform(halves, lambda h: F.concat(h, F.lit("||"))))
-        segments = F.zip_with(F.zip_with(outs, sources, lambda o, s: F.struct(o.alias("o"), s.alias("s"))), joined, lambda p, j: F.struct(p["o"].alias("out"), (p["s"] + F.col("__part.start")).cast("int").alias("orig"), F.length(j).alias("len")))
+        joined = F.zip_with(halves, F.slice(halves, F.lit(2), F.size(halves)), lambda h, after: F.when(after.isNotNull(), F.length(h) + 1).otherwise(F.length(h)))
+        outs = T.running(joined)
+        sources = T.running(F.transform(halves, lambda h: F.length(h) + 2))
+        segments = F.zip_with(F.zip_with(outs, sources, lambda o, s: F.struct(o.alias("o"), s.alias("s"))), joined, lambda p, j: F.struct(p["o"].alias("out"), (p["s"] + F.col("__part.start")).cast("int").alias("orig"), j.alias("len")))
         parts = _replaced(parts, F.col("__part.value"), segments).drop("__part")
         return same.unionByName(parts)
 

@@ -84,9 +84,15 @@ def document_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(*S.fragment(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.col("text"), F.col("lang"), "document", F.create_map(F.lit("id"), F.col("doc_id").cast("string")), place))
 
 
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
+def tokens(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
+    """A row per word with its place; the excerpt on demand. The text stays behind."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), "text")
-    return docs.select("doc_id", "language", "text", F.posexplode(tokenizers.prose(F.col("text"))).alias("word_idx", "t")).select("doc_id", "language", "text", "word_idx", F.col("t.text").alias("word"), F.col("t.start").alias("offset"))
+    fields = ("start", "line", "column", "text")
+    found = tokenizers.prose(F.col("text"))
+    if excerpts:
+        found, fields = T.excerpts(F.col("text"), found, fields), (*fields, "excerpt")
+    names = {"start": "offset", "text": "word"}
+    return docs.select("doc_id", "language", F.posexplode(found).alias("word_idx", "t")).select("doc_id", "language", "word_idx", *[F.col(f"t.{f}").alias(names.get(f, f)) for f in fields])
 
 
 def plain_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,18 +115,22 @@ def known_words(spark: SparkSession, sf: str) -> DataFrame:
     return D.for_languages(corpus_dictionary(spark, sf), languages)
 
 
-def unknown_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return spellers.unknown(tokens(spark, sf), known_words(spark, sf))
+def unknown_tokens(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
+    """Tokens that are unknown; each distinct word is checked once."""
+    vocabulary = plain_words(spark, sf).select("language", F.lower("word").alias("__lower")).distinct()
+    missing = spellers.unknown(vocabulary.withColumnRenamed("__lower", "word"), known_words(spark, sf)).withColumnRenamed("word", "__lower")
+    rows = tokens(spark, sf, excerpts).withColumn("__lower", F.lower("word"))
+    return rows.join(spellers.small(missing), ["language", "__lower"]).drop("__lower")
 
 
-def found(spark: SparkSession, sf: str) -> DataFrame:
+def found(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
     """Findings of the documents, one place per word, without suggestions."""
-    rows = unknown_tokens(spark, sf)
+    rows = unknown_tokens(spark, sf, excerpts)
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"))
     context = F.struct(F.lit("document").alias("source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("attributes"))
     rows = rows.select("*", context.alias("context"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fragment_id"), F.array().cast("array<string>").alias("suggestions"))
-    place = F.struct(path.alias("path"), T.line_of(F.col("text"), F.col("offset")).alias("line"), T.column_of(F.col("text"), F.col("offset")).alias("column"), F.lit(None).cast("string").alias("logical"))
-    rows = rows.withColumns({"location": place, "seed": T.seed(F.col("context")), "type": F.lit("spelling"), "severity": F.lit("error"), "excerpt": T.excerpt(F.col("text"), F.col("offset"), F.length("word"))})
+    place = F.struct(path.alias("path"), F.col("line"), F.col("column"), F.lit(None).cast("string").alias("logical"))
+    rows = rows.withColumns({"location": place, "seed": T.seed(F.col("context")), "type": F.lit("spelling"), "severity": F.lit("error")})
     return rows.withColumn("fingerprint", T.fingerprint(F.col("seed"), F.col("word")))
 
 
@@ -205,8 +215,8 @@ seg AS (SELECT page_id, i, gap, CAST(coalesce(sum(length(gap) + 1) OVER w, 0) AS
 c AS (SELECT page_id, array_to_string(g, ' ') AS t FROM h),
 r AS (SELECT page_id, regexp_extract_all(t, '{literal(P.PROSE_RE2)}') AS m, string_split_regex(t, '{literal(P.PROSE_RE2)}') AS g FROM c),
 x AS (SELECT page_id, unnest(m) AS word, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM r),
-y AS (SELECT page_id, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY page_id ORDER BY i) - length(word) AS BIGINT) AS at FROM x),
-z AS (SELECT y.page_id, word, at - s.out + s.orig AS off FROM y JOIN seg s ON y.page_id = s.page_id AND y.at >= s.out AND y.at < s.out + length(s.gap) WHERE length(word) >= 4)
+y AS (SELECT page_id, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY page_id ORDER BY i) - length(word) AS BIGINT) AS "at" FROM x),
+z AS (SELECT y.page_id, word, y."at" - s.out + s.orig AS off FROM y JOIN seg s ON y.page_id = s.page_id AND y."at" >= s.out AND y."at" < s.out + length(s.gap) WHERE length(word) >= 4)
 SELECT page_id, count(*) AS words, CAST(sum(off) AS BIGINT) AS sum_offset, CAST(max(off) AS BIGINT) AS last_offset FROM z GROUP BY 1
 """)
 def offsets_through_processors(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +242,7 @@ def prose_tokens_with_offsets(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SQL_TOKENS} SELECT doc_id, CAST(idx AS INTEGER) AS word_idx, CAST(length(text[:off]) - length(replace(text[:off], chr(10), '')) + 1 AS INTEGER) AS line,
 CAST(length(string_split(text[:off], chr(10))[-1]) + 1 AS INTEGER) AS col FROM tokens""")
 def token_line_column(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens(spark, sf).select("doc_id", "word_idx", T.line_of(F.col("text"), F.col("offset")).alias("line"), T.column_of(F.col("text"), F.col("offset")).alias("col"))
+    return tokens(spark, sf).select("doc_id", "word_idx", "line", F.col("column").alias("col"))
 
 
 SQL_NAMES = """names AS (SELECT DISTINCT name FROM (
@@ -321,7 +331,7 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN}, {SQL_BEST},
 one AS (SELECT word, string_split(suggestions, ', ')[1] AS s FROM best)
-SELECT word, 'get' || upper(s[1]) || s[2:] || 'Name' AS camel, upper(s) || '_ID' AS shout FROM one""")
+SELECT word, 'get' || replace(upper(s[1]), 'ẞ', 'SS') || s[2:] || 'Name' AS camel, replace(upper(s), 'ẞ', 'SS') || '_ID' AS shout FROM one""")
 def suggestion_formatter(spark: SparkSession, sf: str) -> DataFrame:
     first = F.slice("suggestions", 1, 1)
     word = F.col("word")
@@ -354,7 +364,7 @@ def finding_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{SQL_ALL}, x AS (SELECT *, greatest(0, off - 32) AS b FROM found)
 SELECT doc_id, CAST(idx AS INTEGER) AS word_idx, md5(CASE WHEN b > 0 THEN '...' ELSE '' END || trim(regexp_replace(text[b + 1 : b + length(word) + 64], '[\\p{{Z}}\\t\\n\\x0B\\f\\r\\x{{85}}]+', ' ', 'g')) || CASE WHEN off + length(word) + 32 < length(text) THEN '...' ELSE '' END) AS excerpt_md5 FROM x""")
 def finding_excerpt(spark: SparkSession, sf: str) -> DataFrame:
-    return unknown_tokens(spark, sf).select("doc_id", "word_idx", F.md5(T.excerpt(F.col("text"), F.col("offset"), F.length("word"))).alias("excerpt_md5"))
+    return unknown_tokens(spark, sf, excerpts=True).select("doc_id", "word_idx", F.md5("excerpt").alias("excerpt_md5"))
 
 
 @query(f"{SQL_ALL} SELECT doc_id, CAST(idx AS INTEGER) AS word_idx, word, line, col, fingerprint FROM found")
@@ -437,7 +447,7 @@ def report_github(spark: SparkSession, sf: str) -> DataFrame:
 SELECT '"' || lang || '","","","' || replace(CASE WHEN b > 0 THEN '...' ELSE '' END || trim(regexp_replace(text[b + 1 : b + length(word) + 64], '[\\p{{Z}}\\t\\n\\x0B\\f\\r\\x{{85}}]+', ' ', 'g')) || CASE WHEN off + length(word) + 32 < length(text) THEN '...' ELSE '' END, '"', '""')
   || '","' || word || '","","documents/' || doc_id || '","' || line || '"' AS value FROM x""")
 def report_csv(spark: SparkSession, sf: str) -> DataFrame:
-    return report.csv(found(spark, sf))
+    return report.csv(found(spark, sf, excerpts=True))
 
 
 @query(f"""{SQL_ALL} SELECT '{{"description":"Unknown word \\"' || word || '\\"","check_name":"spelling","fingerprint":"' || fingerprint || '","severity":"minor","location":{{"path":"documents/' || doc_id || '","lines":{{"begin":' || line || '}}}}}}' AS value FROM found""")
