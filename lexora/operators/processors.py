@@ -73,17 +73,14 @@ def legacy_plural() -> Processor:
 
     def apply(df: DataFrame) -> DataFrame:
         splits = (F.col("context.source") == "translation") & F.contains("text", F.lit("|"))
-        parted = df.withColumn("__parts", F.when(splits, plural_parts(F.col("text"))))
-        some = F.coalesce(F.size("__parts"), F.lit(0)) > 0
-        same = parted.where(~some).drop("__parts")
-        parts = parted.where(some).withColumn("__part", F.explode("__parts")).drop("__parts")
+        parts = df.withColumn("__parts", F.when(splits, plural_parts(F.col("text")))).withColumn("__part", F.explode_outer("__parts")).drop("__parts")
         halves = F.split(F.col("__part.raw"), r"\|\|", -1)
         joined = F.zip_with(halves, F.slice(halves, F.lit(2), F.size(halves)), lambda h, after: F.when(after.isNotNull(), F.length(h) + 1).otherwise(F.length(h)))
         outs = T.running(joined)
         sources = T.running(F.transform(halves, lambda h: F.length(h) + 2))
         segments = F.zip_with(F.zip_with(outs, sources, lambda o, s: F.struct(o.alias("o"), s.alias("s"))), joined, lambda p, j: F.struct(p["o"].alias("out"), (p["s"] + F.col("__part.start")).cast("int").alias("orig"), j.alias("len")))
-        parts = _replaced(parts, F.col("__part.value"), segments).drop("__part")
-        return same.unionByName(parts)
+        whole = F.col("__part").isNull()  # a message without parts stays as it is
+        return _replaced(parts, F.when(whole, F.col("text")).otherwise(F.col("__part.value")), F.when(~whole, segments)).drop("__part")
 
     return Processor("legacy_plural", 900, apply)
 
@@ -93,11 +90,11 @@ def icu_message(mode: str = "auto", domain_suffix: str = "+intl-icu") -> Process
 
     def apply(df: DataFrame) -> DataFrame:
         wanted = icu_wanted(mode, domain_suffix)
-        plain = df.where(~wanted)
-        expanded = df.where(wanted).withColumn("__icu", icu.expand_udf("text"))
-        good = expanded.where(F.col("__icu.error").isNull()).withColumn("__span", F.explode("__icu.spans")).drop("__icu")
+        rows = df.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).withColumn("__icu", icu.expand_udf(F.when(F.col("__wanted"), F.col("text"))))
+        rows = rows.where(~F.col("__wanted") | F.col("__icu.error").isNull()).withColumn("__span", F.explode_outer("__icu.spans"))
+        rows = rows.where(~F.col("__wanted") | F.col("__span").isNotNull()).drop("__icu")
         segments = F.transform("__span.segments", lambda s: F.struct(s["out"].alias("out"), s["orig"].alias("orig"), s["len"].alias("len")))
-        return plain.unionByName(_replaced(good, F.col("__span.text"), segments).drop("__span"))
+        return _replaced(rows, F.when(F.col("__wanted"), F.col("__span.text")).otherwise(F.col("text")), segments).drop("__span", "__wanted")
 
     return Processor("icu_message", 800, apply)
 
@@ -138,8 +135,8 @@ def url() -> Processor:
 def doc_block(strict_tags: bool = True) -> Processor:
     def apply(df: DataFrame) -> DataFrame:
         wanted = (F.col("mode") == "docblock") & ~T.is_blank(F.col("text"))
-        cleaned = df.where(wanted).withColumn("__doc", docblock.clean_udf(strict_tags)("text"))
-        return df.where(~wanted).unionByName(_replaced(cleaned, F.col("__doc.text"), F.col("__doc.segments").cast(OFFSETS)).drop("__doc"))
+        rows = df.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).withColumn("__doc", docblock.clean_udf(strict_tags)(F.when(F.col("__wanted"), F.col("text"))))
+        return _replaced(rows, F.when(F.col("__wanted"), F.col("__doc.text")).otherwise(F.col("text")), F.when(F.col("__wanted"), F.col("__doc.segments").cast(OFFSETS))).drop("__doc", "__wanted")
 
     return Processor("doc_block", 200, apply)
 

@@ -464,7 +464,7 @@ def report_checkstyle_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{SQL_ALL} SELECT word, count(*) AS n FROM found GROUP BY 1""")
 def report_junit(spark: SparkSession, sf: str) -> DataFrame:
-    cases = report.junit(found(spark, sf))
+    cases = report.junit(found(spark, sf, excerpts=True))
     name = F.replace(F.regexp_extract("value", '^<testcase name="([^"]*)"', 1), F.lit("&#039;"), F.lit("'"))
     return cases.groupBy(name.alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
