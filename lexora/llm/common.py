@@ -70,6 +70,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def pinned(df: DataFrame, label: str = "input") -> DataFrame:
+    """df where it only projects or filters scans of files, whose rows have the same places at every reading; anything else is staged first."""
+
+    def still(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName() in ("Project", "Filter", "LogicalRelation") and all(still(children.apply(k)) for k in range(children.size()))
+
+    return df if still(df._jdf.queryExecution().optimizedPlan()) else stage(df, label)
+
+
 def unstage(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_staged", None)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import small_batches, stage
+from lexora.llm.common import pinned, small_batches, stage
 
 _WORD = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 NUMBERS = set(
@@ -159,7 +159,7 @@ _SCHEMA = "row long, id long, hash long, pos long, slots array<string>, n long"
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return small_batches(df).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(pinned(df)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def leaks(

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import small_batches, stage, unstage
+from lexora.llm.common import pinned, small_batches, stage, unstage
 from lexora.llm.components import components
 
 BITS = 64
@@ -295,7 +295,7 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs
     another fingerprint word, in place of all pairs: with dozens of buckets a
     text, a large group of copies hangs together by many links.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, pinned(docs)
     rows = small_batches(docs).select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the number of documents fixes the layout
     width, number = layout(docs.count(), similarity)
@@ -395,6 +395,7 @@ def _verified(rows: DataFrame, candidates: DataFrame, words: int, similarity: fl
 
 def drop_copies(docs: DataFrame, max_broadcast: int = 1_000_000, **options) -> DataFrame:
     """docs with one document of each class (the smallest id, then the earliest), all columns kept."""
+    docs = pinned(docs)
     gone = stage(copy_classes(docs, **options).where("__row <> keeper").select("__row"), "copies")
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
     few = gone.count() <= max_broadcast  # 8 bytes each

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.llm.common import stage, text_of
+from lexora.llm.common import pinned, stage, text_of
 
 K = 96
 WORDS = 5
@@ -95,6 +95,7 @@ def chain(rows: DataFrame) -> DataFrame:
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    docs = pinned(docs)
     prints = stage(sketches(docs, id_col, text_col), "sketches")
     texts = docs.select(F.monotonically_increasing_id().alias("__row"), text_of(text_col).alias("text"))
     placed = texts.join(prints.join(chain(prints), "__row"), "__row")

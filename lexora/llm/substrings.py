@@ -24,7 +24,7 @@ construction runs where it is at its best, on many short strings:
 
 Texts never move: requests and removals are small files in the shared folder,
 one per scan partition, that a scan task reads. The scan must have the same
-partitions each time, as scans of files have; stage other inputs first.
+partitions each time, as scans of files have; other inputs are staged first.
 
 Defined cases: null texts are empty; texts shorter than ``length`` stay whole;
 rows with null ids come first; equal ids are ordered by place in the input, so
@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import dealt, filesystem, shared_dir, small_batches, spread, stage, unstage, write_atomically
+from lexora.llm.common import dealt, filesystem, pinned, shared_dir, small_batches, spread, stage, unstage, write_atomically
 
 K = 32
 BLOCK = 4 << 20
@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every document."""
     if not K < length <= 160:
         raise ValueError(f"length must be over {K} and at most 160")
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, pinned(docs)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     asked, gone = shared_dir(spark, "asked"), shared_dir(spark, "gone")
