@@ -255,51 +255,55 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 # --- copies by similarity of shingle sets -----------------------------------
 
 
-def agreement(similarity: float) -> float:
-    """The chance that a bit of two SimHashes agrees, for sets of equal size with this Jaccard similarity."""
+def prefix_length(size: int, similarity: float) -> int:
+    """So many first shingles, in any order that all sets share, hold one in common with each set at the similarity."""
     import math
 
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def layout(n: int, similarity: float, recall: float = 0.95) -> tuple[int, int]:
-    """(width, number) of partitions: wide enough that unlike texts rarely share one, and so many that a pair at the similarity shares one with the chance `recall`."""
-    import math
+def _hash_sets(words: int, explode: bool):
+    """(node, hashes) of texts, or a row (node, size, hash) per distinct shingle."""
 
-    width = max(8, min(32, math.ceil(math.log2(max(2, n))) - 2))
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** width))
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for at in range(0, len(nodes), 100):  # long texts have 20,000 rows each
+                sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(1).slice(at, 100).to_pylist()]
+                own = nodes[at : at + 100]
+                if explode:
+                    sizes = np.array([len(h) for h in sets], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "size", "hash"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
 
-def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
-    """`words` 64-bit SimHash words from independent mixes of the distinct shingle hashes."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[k] = fingerprint(x ^ (x >> np.uint64(31)))
-    return out
+    return run
 
 
-def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs_up_to: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__row (the place in docs), doc_id, keeper (the __row of the document of its class that stays).
 
     A class holds documents linked by a Jaccard similarity of `similarity` or
-    more of their sets of `words`-word shingles. At such a similarity SimHashes
-    differ in a sixth of their bits, so a pigeonhole guarantee would probe
-    nearly everything; instead fingerprints are made so wide that, with all
-    thresholds at zero, a pair at the bound shares one of the partitions with a
-    chance of 0.95, and more similar pairs with more. Candidates are verified
-    on their shingle sets. A bucket of more than `pairs_up_to` texts links each
-    text to the bucket's first and to the one before it in the order of
-    another fingerprint word, in place of all pairs: with dozens of buckets a
-    text, a large group of copies hangs together by many links.
+    more of their sets of `words`-word shingles. The search is exact: it uses
+    no SimHash, whose bits differ in a sixth at that similarity, but prefixes
+    of the sets. Equal sets are one node. First the shingles are ordered by
+    their hash, and texts that share no prefix shingle with another have no
+    partner. Of the rest all shingles are counted and ordered by rarity, and
+    texts that share a shingle of these prefixes meet in its bucket. Pairs
+    that lengths or places of the shared shingle rule out go, and the others
+    are verified on whole sets.
+
+    Only the classes are wanted, so pairs within one are not: each text of a
+    bucket is verified first against the bucket's smallest and largest node,
+    and the components of these links are formed. Then every pair of a bucket
+    whose texts are in different components is verified, however large the
+    bucket. The texts outside of the bucket's largest component meet all
+    others; a bucket of copies within one component makes no pair.
     """
-    spark, docs = docs.sparkSession, pinned(docs)
+    docs = pinned(docs)
     rows = small_batches(docs).select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # the number of documents fixes the layout
-    width, number = layout(docs.count(), similarity)
-    n_words = -(-width * number // 64)
 
     def prints(batches):
         import hashlib
@@ -307,56 +311,73 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs
         import pyarrow as pa
 
         for batch in batches:
-            digests, sizes, fps = [], [], []
+            digests, sizes, prefixes = [], [], []
             for text in batch.column(2).to_pylist():
-                h = shingle_hashes(text or "", words)
+                h = np.unique(shingle_hashes(text or "", words))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                h = np.unique(h)
                 sizes.append(len(h))
-                fps.append(wide_fingerprint(h, n_words).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary())], ["__row", "doc_id", "digest", "size", "fp"])
+                prefixes.append(h[: prefix_length(len(h), similarity)].tobytes() if len(h) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["__row", "doc_id", "digest", "size", "prefix"])
 
-    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size int, fp binary"), "prints")
+    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size long, prefix binary"), "prints")
+    # the prefix stays out of the aggregate: equal sets are one node, which has its prefix in its own row
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
-    texts = stage(every.groupBy("digest").agg(first, F.first("size").alias("size"), F.first("fp").alias("fp")).select("digest", F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id"), "size", "fp"), "texts")
+    texts = stage(every.groupBy("digest").agg(first).select("digest", F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id")), "texts")
 
     def file(batches):
         import pyarrow as pa
 
         for batch in batches:
-            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(nodes):
-                continue
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(nodes), -1)
-            bits = np.unpackbits(fp.view(np.uint8).reshape(len(nodes), -1), axis=1, bitorder="little")[:, : width * number].reshape(len(nodes), number, width).astype(np.int64)
-            keys = (bits @ (np.int64(1) << np.arange(width, dtype=np.int64))) + (np.arange(number, dtype=np.int64) << 40)
-            a, b = fp[:, 0].view(np.int64), fp[:, -1].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes, number)), pa.array(np.repeat(sizes, number)), pa.array(np.repeat(a, number)), pa.array(np.repeat(b, number))], ["key", "node", "size", "fp", "other"])
-
-    filed = texts.where("size > 0").select("node", "size", "fp").mapInArrow(file, "key long, node long, size int, fp long, other long")
-    counts = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "fp")).alias("lead")).where("n > 1")
-    shared = stage(filed.join(counts, "key"), "buckets")
-    small = shared.where(F.col("n") <= pairs_up_to).select("key", "node", "size", "fp")
-    right = small.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "fp")])
-
-    def near(size_a, fp_a, size_b, fp_b):
-        far = round(BITS * (1 - agreement(similarity)) + 3.5 * (BITS * agreement(similarity) * (1 - agreement(similarity))) ** 0.5)
-        a, b = F.col(size_a), F.col(size_b)
-        return (F.least(a, b) >= similarity * F.greatest(a, b)) & (F.bit_count(F.col(fp_a).bitwiseXOR(F.col(fp_b))) <= far)
-
-    pairs = small.join(right, "key").where((F.col("node") < F.col("r_node")) & near("size", "fp", "r_size", "r_fp")).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
-    from pyspark.sql import Window
-
-    large = shared.where(F.col("n") > pairs_up_to)
-    led = large.where((F.col("node") != F.col("lead.node")) & near("size", "fp", "lead.size", "lead.fp")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-    w = Window.partitionBy("key").orderBy("other", "node")
-    chained = large.select("node", "size", "fp", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("node", "size", "fp")]).where(F.col("p_node").isNotNull() & near("size", "fp", "p_size", "p_fp"))
-    chained = chained.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
-    candidates = stage(pairs.unionByName(led).unionByName(chained).distinct(), "candidates")
-    unstage(shared)
-    links = _verified(rows, candidates, words, similarity)
+            nodes, prefixes = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = [len(x) // 8 for x in prefixes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), pa.array(np.repeat(nodes, sizes))], ["hash", "node"])
+
+    nodes = every.select(F.col("__row").alias("node"), "prefix").join(texts.select("node"), "node", "left_semi")
+    filed = nodes.mapInArrow(file, "hash long, node long")
+    met = filed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    alive = stage(filed.join(met, "hash", "left_semi").select("node").distinct(), "alive")
+    live = rows.select(F.col("__row").alias("node"), "text").join(alive, "node", "left_semi")
+
+    shingles = stage(live.mapInArrow(_hash_sets(words, True), "node long, size long, hash long"), "shingles")
+    often = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = shingles.join(often, "hash").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("held"))  # at most the shingles of a text
+    # shingles of one text only come first in the order, and meet nothing
+    alone = F.col("size") - F.size("held")
+    length = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    prefix = held.withColumn("alone", alone).withColumn("length", length - alone).where("length > 0")
+    prefix = prefix.select("node", "size", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("length").cast("int"))).alias("at", "x"))
+    prefix = stage(prefix.select(F.col("x.hash").alias("key"), "node", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "prefixes")
+    unstage(shingles)
+    bound = prefix.groupBy("key").agg(F.min(F.struct("node", "size", "rest")).alias("low"), F.max(F.struct("node", "size", "rest")).alias("high")).where("low.node <> high.node")
+
+    def near(size, rest, r_size, r_rest):
+        """False only where no similar pair can have its first shared shingle here: `rest` counts a text's shingles from it on."""
+        a, b = F.col(size), F.col(r_size)
+        return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9) & (F.least(F.col(rest), F.col(r_rest)) >= similarity / (1 + similarity) * (a + b) - 1e-9)
+
+    ends = prefix.join(bound, "key").select("node", "size", "rest", F.explode(F.array("low", "high")).alias("o"))
+    ends = ends.where((F.col("node") != F.col("o.node")) & near("size", "rest", "o.size", "o.rest")).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+    sets = stage(live.mapInArrow(_hash_sets(words, False), "node long, hashes binary"), "sets")
+    candidates = stage(ends.distinct(), "candidates")
+    links = _verified(sets, candidates, similarity)
+    parts = stage(components(links), "parts")
+
+    # what is left: pairs in different components
+    weight = parts.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    parted = parts.join(weight, "component")
+    named = prefix.join(parted, "node", "left").select("key", "node", "size", "rest", F.coalesce("component", "node").alias("part"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    most = named.groupBy("key").agg(F.max(F.struct("weight", "part"))["part"].alias("most"), F.min("part").alias("least"), F.max("part").alias("last")).where("least <> last").select("key", "most")
+    mixed = stage(named.join(most, "key"), "mixed")
+    other = mixed.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "rest", "part")])
+    outside = mixed.where("part <> most")
+    # two texts that are both outside meet twice, and count once
+    cross = outside.join(other, "key").where((F.col("part") != F.col("r_part")) & near("size", "rest", "r_size", "r_rest"))
+    more = cross.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
+    more = stage(more.join(candidates, ["a", "b"], "left_anti"), "candidates")
+    unstage(mixed, prefix)
+    links = links.unionByName(_verified(sets, more, similarity))
     parts = components(links)
-    unstage(candidates)
+    unstage(candidates, more, sets, alive)
     classes = texts.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node"))
     keep = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("keep"))
     found = stage(classes.join(keep, "class").select("digest", F.col("keep.node").alias("keeper")), "classes")
@@ -364,32 +385,22 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, pairs
     return every.select("__row", "doc_id", "digest").join(found, "digest").drop("digest")
 
 
-def _verified(rows: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
     """The candidate pairs (a, b) whose shingle sets are similar enough."""
-    wanted = candidates.select(F.col("a").alias("__row")).unionByName(candidates.select(F.col("b").alias("__row"))).distinct()
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            data = [np.unique((shingle_hashes(t or "", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "hashes"])
-
-    held = stage(rows.join(wanted, "__row", "left_semi").select("__row", "text").mapInArrow(sets, "node long, hashes binary"), "sets")
 
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
-    met = candidates.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    met = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return stage(met.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "verified")
 
 

@@ -130,6 +130,49 @@ def test_drop_copies_keeps_one_of_each_group(docs, rows, empty):
     assert simhash.drop_copies(docs).columns == docs.columns
 
 
+def shingle_sets(texts):
+    out = {}
+    for i, text in texts.items():
+        parts = text.split()
+        out[i] = {" ".join(parts[k : k + 5]) for k in range(len(parts) - 4)} or ({" ".join(parts)} if parts else set())
+    return out
+
+
+def left_by_brute_force(texts, bound=0.8):
+    """The smallest id of each group of texts linked by similarity."""
+    sets, parent = shingle_sets(texts), {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and (not sets[a] and not sets[b] or sets[a] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i for i in texts if root(i) == i}
+
+
+def test_drop_copies_searches_large_buckets(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    boiler = [word() for _ in range(60)]
+    texts = {}
+    for i in range(0, 240, 2):  # pairs of copies in a crowd that shares two thirds of its shingles
+        own = [word() for _ in range(24)]
+        texts[i], texts[i + 1] = " ".join(boiler + own), " ".join(boiler + own[:-6] + [word() for _ in range(6)])
+    base = [word() for _ in range(100)]
+    for i in range(240, 360):  # variants of a template, near to some and far from others
+        own = list(base)
+        for at in rng.sample(range(100), 3):
+            own[at] = word()
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.drop_copies(docs).collect()} == left_by_brute_force(texts)
+
+
 def test_warc_equals_sql(spark, sf):
     assert spark_rows(QUERIES["op4_warc"](spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == duck_rows(ORACLES["op4_warc"], sf)
 
