@@ -102,6 +102,8 @@ def _gate(kind: str, text: Column, loose: bool = False) -> Column:
         return F.contains(text, F.lit(NEEDS[kind]))
     if kind == "email":
         return F.contains(text, F.lit(" at ")) & F.contains(text, F.lit("dot")) | text.rlike(r"\[at\]|\(at\)")
+    if kind == "card":  # candidates hold 7 digits at least, base spans 16
+        return text.rlike("(?:[0-9][ -]?){6}[0-9]")
     return text.rlike("[0-9]{3}|[0-9]\\.[0-9]")
 
 

@@ -216,6 +216,18 @@ def test_pii_base_spans(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_cards_in_pairs_and_single_digits(spark):
+    card = "4111111111111111"
+    pairs, singles = " ".join(card[k : k + 2] for k in range(0, 16, 2)), "-".join(card)
+    texts = [f"pay with {pairs} now", f"pay with {singles} now", "no 1 2 3 here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    for i, text in enumerate(texts):
+        assert found[i]["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert [found[i]["n_card"] for i in range(3)] == [1, 1, 0]
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["pay with <card> now", "pay with <card> now", "no 1 2 3 here"]
+
+
 def test_substrings_equal_brute_force(docs, rows, empty):
     seen, wanted = set(), {}
     for i, text in sorted(rows):
