@@ -5,9 +5,12 @@ that follow numbers become typed placeholders, so that a question with other
 values keeps its template. Windows of ``window`` template words are hashed on
 both sides and hash-joined. Matches on one alignment (document position less
 item position) of one item are gathered, and their slots compared: each value
-of the item must stand against one value of the document. An item counts as
-leaked into a document if consistent alignments cover ``min_windows`` of its
-windows, or the share ``min_coverage``.
+of the item must stand against one value of the document. A window of which
+more than half are placeholders says little as a template; it is hashed with its
+literal words, and only matches the same words. An item counts as leaked into a
+document if consistent alignments cover ``min_windows`` of its windows, or the
+share ``min_coverage`` of all of them or of those that are plain enough to match
+with other values.
 
 Where the benchmark has at most ``max_broadcast`` windows (checked), their
 hashes are sent to all tasks and only windows that hit are shuffled. A larger
@@ -102,25 +105,39 @@ def _is_slot(codes: np.ndarray) -> np.ndarray:
     return (codes == _NUM) | (codes == _NAME) | (codes == _UNIT)
 
 
-def window_hashes(codes: np.ndarray, window: int) -> np.ndarray:
-    """A hash per window; 0 (no window) where fewer than half of the words are plain."""
+def literal_codes(words: list[str], codes: np.ndarray) -> np.ndarray:
+    """The codes with those of slots replaced by codes of the words themselves."""
+    import xxhash
+
+    out = codes.copy()
+    for k in np.flatnonzero(_is_slot(codes)).tolist():
+        out[k] = xxhash.xxh64_intdigest(words[k], 11)
+    return out
+
+
+def is_heavy(codes: np.ndarray, window: int) -> np.ndarray:
+    """Whether fewer than half of the words are plain, per window."""
+    total = np.concatenate([[0], np.cumsum(_is_slot(codes))])
+    return 2 * (total[window:] - total[:-window]) > window
+
+
+def window_hashes(codes: np.ndarray, window: int, literal: np.ndarray | None = None) -> np.ndarray:
+    """A hash per window; of the literal words where fewer than half of the words are plain."""
     n = len(codes) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(window))
-    slots = _is_slot(codes)
     for j in range(window):
         out = (out ^ (out >> np.uint64(31))) * _STEP + codes[j : j + n]
     out ^= out >> np.uint64(29)
-    out[out == 0] = 1
-    if slots.any():
-        total = np.concatenate([[0], np.cumsum(slots)])
-        out[2 * (total[window:] - total[:-window]) > window] = 0
+    heavy = is_heavy(codes, window)
+    if literal is not None and heavy.any():
+        out[heavy] = window_hashes(literal, window)[heavy]
     return out
 
 
 def _windows(window: int, keep_all: bool, hashes=None, sizes: tuple[int, ...] = ()):
-    """(row, id, hash, pos, slots) of the windows of texts; with hashes only of those that are in it."""
+    """(row, id, hash, pos, slots, number of windows, whether this one is plain, number of plain ones) of the windows of texts; with hashes only of those that are in it."""
 
     def run(batches):
         import pyarrow as pa
@@ -130,32 +147,35 @@ def _windows(window: int, keep_all: bool, hashes=None, sizes: tuple[int, ...] =
             flags = np.zeros(1 << 22, bool)
             flags[(known >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
-            rows, ids, hs, ps, ss, ns = [], [], [], [], [], []
+            rows, ids, hs, ps, ss, ns, es, ms = [], [], [], [], [], [], [], []
             for row, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text or "")
                 codes = template(words)
+                literal = literal_codes(words, codes)
                 for size in [min(window, len(codes))] if keep_all and len(codes) < window else [window, *sizes]:
                     if size < 4:
                         continue
-                    h = window_hashes(codes, size)
+                    h = window_hashes(codes, size, literal)
                     if known is not None:
                         maybe = np.flatnonzero(flags[(h >> np.uint64(42)).astype(np.int64)])
                         at = maybe[np.isin(h[maybe], known)] if len(maybe) else maybe
                     else:
                         at = np.arange(len(h))
-                    at = at[h[at] != 0]
-                    slots = _is_slot(codes)
+                    if not len(at):
+                        continue
+                    slots, plain = _is_slot(codes), ~is_heavy(codes, size)
+                    m = int(plain.sum())
                     for p in at.tolist():
-                        rows.append(row), ids.append(key), ps.append(p), ns.append(len(at))
+                        rows.append(row), ids.append(key), ps.append(p), ns.append(len(at)), es.append(bool(plain[p])), ms.append(m)
                         ss.append([words[q] for q in range(p, p + size) if slots[q]])
                     hs.append(h[at])
             h = np.concatenate(hs).view(np.int64) if hs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(h), pa.array(ps, pa.int64()), pa.array(ss, pa.list_(pa.string())), pa.array(ns, pa.int64())], ["row", "id", "hash", "pos", "slots", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(h), pa.array(ps, pa.int64()), pa.array(ss, pa.list_(pa.string())), pa.array(ns, pa.int64()), pa.array(es, pa.bool_()), pa.array(ms, pa.int64())], ["row", "id", "hash", "pos", "slots", "n", "plain", "n_plain"])
 
     return run
 
 
-_SCHEMA = "row long, id long, hash long, pos long, slots array<string>, n long"
+_SCHEMA = "row long, id long, hash long, pos long, slots array<string>, n long, plain boolean, n_plain long"
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,7 +188,7 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, coverage, kind (verbatim or reparameterised) of every leak."""
     items = _rows(benchmark, item_col, item_text_col)
-    bench = stage(items.mapInArrow(_windows(window, True), _SCHEMA).select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n").alias("item_windows")), "bench")
+    bench = stage(items.mapInArrow(_windows(window, True), _SCHEMA).select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n").alias("item_windows"), F.col("plain").alias("item_plain"), F.col("n_plain").alias("plain_windows")), "bench")
     rows, spark = _rows(docs, id_col, text_col), docs.sparkSession
     total = bench.count()
     # windows of items that are shorter than a window have their own length
@@ -183,10 +203,13 @@ def leaks(
     met = hits.join(right, "hash").where((F.size("slots") == F.size("item_slots")) & F.col("id").isNotNull() & F.col("item_id").isNotNull())
     pairs = F.flatten(F.collect_set(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     # a set per alignment is bounded by the words of an item
-    aligned = met.groupBy("row", "id", "item_row", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("covered"), F.array_distinct(pairs).alias("pairs"))
+    plain = F.collect_set(F.when(F.col("item_plain"), F.col("item_pos")))
+    aligned = met.groupBy("row", "id", "item_row", "item_id", "item_windows", "plain_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("covered"), plain.alias("covered_plain"), F.array_distinct(pairs).alias("pairs"))
     aligned = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
     same = F.forall("pairs", lambda p: p["a"] == p["b"])
-    by_row = aligned.groupBy("row", "id", "item_row", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("long").alias("matched"), F.max_by(same, F.size("covered")).alias("same"))
-    found = by_row.where((F.col("matched") >= min_windows) | (F.col("matched") >= min_coverage * F.col("item_windows")))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    by_row = aligned.groupBy("row", "id", "item_row", "item_id", "item_windows", "plain_windows").agg(union("covered").alias("matched"), union("covered_plain").alias("matched_plain"), F.max_by(same, F.size("covered")).alias("same"))
+    enough = (F.col("matched") >= min_windows) | (F.col("matched") >= min_coverage * F.col("item_windows"))
+    found = by_row.where(enough | ((F.col("matched_plain") > 0) & (F.col("matched_plain") >= min_coverage * F.col("plain_windows"))))
     out = found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.struct((F.col("matched") / F.col("item_windows")).alias("coverage"), "matched", "item_windows", "same")).alias("best"))
     return out.select("doc_id", "item_id", F.col("best.matched").alias("matched_windows"), F.col("best.item_windows").alias("item_windows"), F.col("best.coverage").alias("coverage"), F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind"))

@@ -281,6 +281,14 @@ def test_decontamination_finds_passages_and_new_values(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_numeric_items(spark):
+    item = "12 km 30 kg 47 mm 81 days 9 cups 15 miles 22 grams 64 hours 5 tons"
+    docs = spark.createDataFrame([(1, "Before it. " + item + " and after."), (2, re.sub("[0-9]+", "7", item)), (3, "Only 12 km and 30 kg.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"], r["matched_windows"], r["item_windows"], r["kind"]) for r in decontaminate.leaks(docs, bench).collect()]
+    assert found == [(1, 7, 13, 13, "verbatim")]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op10_toxicity"](spark, sf)
