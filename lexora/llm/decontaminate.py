@@ -5,7 +5,9 @@ that follow numbers become typed placeholders, so that a question with other
 values keeps its template. Windows of ``window`` template words are hashed on
 both sides and hash-joined. Matches on one alignment (document position less
 item position) of one item are gathered, and their slots compared: each value
-of the item must stand against one value of the document. A window of which
+of the item must stand against one value of the document. Where it stands
+against several, only the windows that hold it go, and of these those with
+the item's own values stay. A window of which
 more than half are placeholders says little as a template; it is hashed with its
 literal words, and only matches the same words. An item counts as leaked into a
 document if consistent alignments cover ``min_windows`` of its windows, or the
@@ -201,12 +203,16 @@ def leaks(
     else:
         hits, right = rows.mapInArrow(_windows(window, False, None, sizes), _SCHEMA), bench
     met = hits.join(right, "hash").where((F.size("slots") == F.size("item_slots")) & F.col("id").isNotNull() & F.col("item_id").isNotNull())
-    pairs = F.flatten(F.collect_set(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # a set per alignment is bounded by the words of an item
-    plain = F.collect_set(F.when(F.col("item_plain"), F.col("item_pos")))
-    aligned = met.groupBy("row", "id", "item_row", "item_id", "item_windows", "plain_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("covered"), plain.alias("covered_plain"), F.array_distinct(pairs).alias("pairs"))
-    aligned = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    same = F.forall("pairs", lambda p: p["a"] == p["b"])
+    aligned = met.groupBy("row", "id", "item_row", "item_id", "item_windows", "plain_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("item_pos", "item_plain", pairs.alias("pairs"))).alias("windows"))
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
+    equal = lambda p: p["a"] == p["b"]
+    several = F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"])))
+    aligned = aligned.withColumn("torn", F.transform(several, lambda p: p["a"]))
+    aligned = aligned.withColumn("windows", F.filter("windows", lambda w: F.forall(w["pairs"], equal) | ~F.exists(w["pairs"], lambda p: F.array_contains("torn", p["a"]))))
+    aligned = aligned.where(F.size("windows") > 0).withColumn("covered", F.transform("windows", lambda w: w["item_pos"])).withColumn("covered_plain", F.transform(F.filter("windows", lambda w: w["item_plain"]), lambda w: w["item_pos"]))
+    same = F.forall("pairs", equal)
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
     by_row = aligned.groupBy("row", "id", "item_row", "item_id", "item_windows", "plain_windows").agg(union("covered").alias("matched"), union("covered_plain").alias("matched_plain"), F.max_by(same, F.size("covered")).alias("same"))
     enough = (F.col("matched") >= min_windows) | (F.col("matched") >= min_coverage * F.col("item_windows"))

@@ -289,6 +289,17 @@ def test_decontamination_finds_numeric_items(spark):
     assert found == [(1, 7, 13, 13, "verbatim")]
 
 
+def test_decontamination_keeps_windows_beside_an_inconsistent_slot(spark):
+    prose = PASSAGE * 2
+    item = f"They sold 3 apples to the baker. {prose}It all took them 3 days of work in town. {PASSAGE}"
+    texts = [item.replace("3 days", "5 days"), item.replace("3 apples", "4 apples").replace("3 days", "5 days"), item, item.replace("3", "9"), "They sold 4 apples to the baker. It all took them 5 days of work in town."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert {0, 1, 2, 3} <= set(found)
+    assert [found[i]["kind"] for i in range(4)] == ["reparameterised", "reparameterised", "verbatim", "reparameterised"]
+    assert found[0]["matched_windows"] < found[2]["matched_windows"] == found[2]["item_windows"] == found[3]["matched_windows"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op10_toxicity"](spark, sf)
