@@ -173,6 +173,21 @@ def test_drop_copies_searches_large_buckets(spark):
     assert {r["doc_id"] for r in simhash.drop_copies(docs).collect()} == left_by_brute_force(texts)
 
 
+def test_drop_copies_finds_all_pairs_at_the_bound(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    texts = {}
+    for i in range(0, 200, 2):  # 4 of 5 shingles
+        own = [word() for _ in range(9)]
+        texts[i], texts[i + 1] = " ".join(own[:8]), " ".join(own)
+    for i in range(200, 220, 2):  # 800 of 1000, and 799
+        own = [word() for _ in range(1004)]
+        texts[i], texts[i + 1] = " ".join(own), " ".join(own[: 804 - (i % 4) // 2])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    left = {r["doc_id"] for r in simhash.drop_copies(docs).collect()}
+    assert left == left_by_brute_force(texts) and len(left) == 115
+
+
 def test_warc_equals_sql(spark, sf):
     assert spark_rows(QUERIES["op4_warc"](spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == duck_rows(ORACLES["op4_warc"], sf)
 
