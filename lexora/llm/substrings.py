@@ -42,32 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm.common import dealt, filesystem, pinned, shared_dir, small_batches, spread, stage, unstage, write_atomically
+from lexora.llm.pieces import powers
 
 K = 32
 BLOCK = 4 << 20
-_BASE = 0x2545F4914F6CDD1D
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -(1 << 63)
 RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("s", "<u4"), ("n", "u1"), ("p", "u1")])
 SPAN = np.dtype([("row", "<i8"), ("s", "<u4"), ("n", "u1"), ("ask", "u1"), ("p", "u1"), ("h", "<u8")])
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        out = []
-        for base in (_BASE, inverse):
-            a = np.ones(size, np.uint64)
-            step, filled = base, 1
-            while filled < size:
-                a[filled : 2 * filled] = a[:filled] * np.uint64(step)
-                step, filled = step * step % (1 << 64), 2 * filled
-            out.append(a)
-        _POWERS[size] = tuple(out)
-    return _POWERS[size]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,7 +61,7 @@ class Hashes:
     """Hashes of any slice of a block of bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = _powers(len(data))
+        self.up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
 

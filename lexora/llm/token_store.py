@@ -16,8 +16,9 @@ each document's start: sums per range, then a running sum inside a range.
 them; chunks held elsewhere are looked up in their packs.
 
 File format of a pack: chunks back to back, each the ids as little-endian
-unsigned integers of ``width`` bytes (2 where the vocabulary allows), zlib
-packed. Packs are bounded by the size of a task's input slice.
+unsigned integers of ``width`` bytes (2 or 4; a vocabulary that needs more is
+refused), so that a trainer can map a pack into memory. Packs are bounded by
+the size of a task's input slice.
 
 Defined cases: a null or empty text is the end id alone; rows with a null id
 come first; equal ids are ordered by their place in the packs; repeated rows
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.llm.common import dealt, filesystem, shared_dir, small_batches, stage, unstage, write_atomically
+from lexora.llm.pieces import powers
 from lexora.llm.vocab import batched, encoder
 
 HASH_BYTES = 12
@@ -42,20 +44,21 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cut_points(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of all documents: after a position whose rolling hash of the last WINDOW ids ends in MASK_BITS zeros, at most MOST ids apart, and at document ends."""
+    """Ends of the chunks of all documents: after a position whose rolling hash of the last WINDOW ids ends with MASK_BITS zeros, at most MOST ids apart, and at document ends."""
     if not len(ids):
         return np.zeros(0, np.int64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
-    mixed ^= mixed >> np.uint64(29)
-    rolling = mixed.copy()
-    span = 1
-    while span < WINDOW:  # sum over the window of mixed[i-j] * 3**j, by doubling
-        shifted = np.zeros_like(rolling)
-        shifted[span:] = rolling[:-span]
-        rolling += shifted * np.uint64(pow(3, span, 1 << 64))
-        span *= 2
-    rolling *= _ODD
-    hit = np.flatnonzero((rolling >> np.uint64(64 - MASK_BITS)) == 0) + 1
+    hit = np.zeros(0, np.int64)
+    if len(ids) >= WINDOW:
+        up, down = powers(len(ids) + 1)
+        sums = np.zeros(len(ids) + 1, np.uint64)
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= up[: len(ids)]
+        np.cumsum(mixed, out=sums[1:])
+        rolling = sums[WINDOW:] - sums[:-WINDOW]
+        rolling *= down[: len(rolling)]
+        rolling *= _ODD
+        hit = np.flatnonzero(rolling < np.uint64(1 << (64 - MASK_BITS))) + WINDOW
     ends = np.cumsum(sizes)
     starts = ends - sizes
     # the window must lie inside the document: cuts near its start depend on it alone
@@ -88,6 +91,8 @@ def _writer(folder: str, path: str, end_id: int, width: int):
 
         part, number = TaskContext.get().partitionId(), 0
         enc, kind = encoder(path), np.dtype(f"<u{width}")
+        if max(enc.library.get_vocab_size(), end_id + 1) > 1 << 8 * width:
+            raise ValueError(f"ids need more than {width} bytes")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batched(texts):
@@ -105,10 +110,9 @@ def _writer(folder: str, path: str, end_id: int, width: int):
                     name = chunk_hash(data)
                     leaves.append(name)
                     if name not in seen:
-                        packed = zlib.compress(data, 1)
-                        seen[name] = (place, len(packed))
-                        body.append(packed)
-                        place += len(packed)
+                        seen[name] = (place, len(data))
+                        body.append(data)
+                        place += len(data)
                     at = cut
                 pack = f"{folder}/pack-{part:06d}-{number:05d}"
                 number += 1
@@ -179,8 +183,7 @@ def _compactor(batches):
             )
 
 
-def _checked(name: bytes, packed: bytes) -> bytes:
-    data = zlib.decompress(packed)
+def _checked(name: bytes, data: bytes) -> bytes:
     if chunk_hash(data) != name:
         raise ValueError("a chunk differs from its hash")
     return data
@@ -240,7 +243,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, width: int = 2, id_col:
     home = index.groupBy("name").agg(F.min("pack").alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "home")
     # a list per pack is bounded by the chunks that the pack holds
     lost = index.select("pack", "name").join(home, "name").where("pack <> home").groupBy("pack").agg(F.collect_list("name").alias("lost"))
-    packs = stage(dealt(heads.join(lost, "pack", "left"), "pack").mapInArrow(_compactor, "pack string, names binary, offsets binary, away array<binary>"), "packs")
+    packs = stage(dealt(heads.join(lost, "pack", "left")).mapInArrow(_compactor, "pack string, names binary, offsets binary, away array<binary>"), "packs")
     return wrote, packs
 
 
@@ -254,7 +257,7 @@ def read_store(recipes: DataFrame, packs: DataFrame, width: int = 2) -> DataFram
     lists = recipes.groupBy("pack").agg(F.collect_list(F.struct("seq", "doc_id", "n_tokens", "recipe", "root")).alias("recipes"))
     none = F.array().cast("array<struct<name:binary,home:string,offset:bigint,size:bigint>>")
     work = own.join(away, "pack", "left").join(lists, "pack").select("pack", "names", "offsets", F.coalesce("away", none).alias("away"), "recipes")
-    return dealt(work, "pack").mapInArrow(_reader(width), "pack string, seq int, doc_id long, n_tokens long, ids_crc32 long")
+    return dealt(work).mapInArrow(_reader(width), "pack string, seq int, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame, order: list[str], size: str, start: str = "start") -> DataFrame:
@@ -273,5 +276,6 @@ def with_starts(rows: DataFrame, order: list[str], size: str, start: str = "star
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write the store, read it back: doc_id, start, n_tokens, ids_crc32."""
     recipes, packs = write_store(docs, path, end_id)
-    out = with_starts(read_store(recipes, packs), ["doc_id", "pack", "seq"], "n_tokens")
+    read = stage(read_store(recipes, packs), "read")  # ranging reads its input twice
+    out = with_starts(read, ["doc_id", "pack", "seq"], "n_tokens")
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
