@@ -88,8 +88,14 @@ def unstage(*frames: DataFrame) -> None:
 
 
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df over all shuffle partitions by columns, for rows that stand for much work: adaptive execution doesn't merge these."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in columns])
+    """df over all shuffle partitions, for rows that stand for much work: evenly, or by a hash of columns.
+
+    The hash is an expression that no plan is partitioned by yet, so that Spark
+    can't leave the exchange out, and adaptive execution doesn't merge the
+    partitions of an exchange with a given number.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*columns)) if columns else df.repartition(n)
 
 
 def text_of(column: str) -> Column:

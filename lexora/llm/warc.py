@@ -225,14 +225,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # the list of an archive is bounded by the records it may hold
     swaps = again.groupBy("archive").agg(F.collect_list(F.struct("seq", F.col("first.page_id").alias("refers_to"))).alias("swaps"))
     work = index.select("archive").distinct().join(swaps, "archive", "left")
-    done = stage(dealt(work, "archive").mapInArrow(_normaliser, "archive string"), "warc-archives")
+    done = stage(dealt(work).mapInArrow(_normaliser, "archive string"), "warc-archives")
     unstage(index)
     return done
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
-    return dealt(archives, "archive").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt(archives).mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
