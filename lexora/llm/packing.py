@@ -2,21 +2,23 @@
 
 Documents are tokenised once and staged as ids. Term statistics (in how many
 documents a token id occurs, number and mean length of documents) are summed
-over the whole corpus. Each task then reads its slice in shards of at most
-``shard_tokens`` ids, builds a BM25 inverted index of a shard, and packs it:
-a seed document opens a window; its best unused neighbours in the shard fill
-it greedily; the document that crosses the end of the window is cut there and
-its rest seeds the next one. So only the last window of a shard can be short,
-and that is cut at powers of two, which need no padding.
-
-No shuffle of ids: a shard is a run of rows of a scan, so a hot source or a
-group of copies is spread like everything else. The query of a seed holds its
-``query_terms`` rarest terms. The term table has a row per vocabulary entry,
-which bounds what meets on the driver and is broadcast.
+over the whole corpus. Documents are then ranged by a routing key, the least
+hashes among their rarest terms, so that documents that share rare terms stand
+together wherever they came from. Each range is read in shards of at most
+``shard_tokens`` ids; a BM25 inverted index of the shard packs it: a seed
+document opens a window; its best unused neighbours in the shard fill it
+greedily; the document that crosses the end of the window is cut there and its
+rest seeds the next one. So only the last window of a shard can be short, and
+that is cut at powers of two, which need no padding.
+
+Ranges are cut by key and place, so a key that a third of all documents share
+is spread over several ranges. The query of a seed holds all of its terms, or
+the ``query_terms`` rarest where that is set. The term table has a row per
+vocabulary entry, which bounds what meets on the driver and is broadcast.
 
 Defined cases: null and empty texts are the end id alone; null ids pass
-through; repeated rows are packed each; ties in score go to the earlier row;
-an empty table gives no sequence; extra columns are ignored.
+through; repeated rows are packed each; ties in score go to the earlier row of
+the range; an empty table gives no sequence; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian 16-bit, with the end id) of each document; beside, rows without ids that carry sums of term counts."""
+    """doc_id, route and ids (little-endian 16-bit, with the end id) of each document; beside, rows without ids that carry sums of term counts."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -46,7 +48,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
         if size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         counts, n_docs, n_ids = np.zeros(size, np.int64), 0, 0
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("docs", pa.int64()), ("tokens", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("route", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("docs", pa.int64()), ("tokens", pa.int64())])
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batched(texts):
@@ -55,15 +57,15 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
                 ends = np.cumsum(sizes + 1)
                 n_docs, n_ids = n_docs + b - a, n_ids + len(ids)
                 raw, starts = ids.tobytes(), np.concatenate([[0], ends[:-1]])
-                held = np.concatenate([distinct(ids[s:e])[0] for s, e in zip(starts.tolist(), ends.tolist())])
-                counts += np.bincount(held, minlength=size)
+                held = [distinct(ids[s:e])[0] for s, e in zip(starts.tolist(), ends.tolist())]
+                counts += np.bincount(np.concatenate(held), minlength=size)
                 data = [raw[2 * s : 2 * e] for s, e in zip(starts.tolist(), ends.tolist())]
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(data, pa.binary()), pa.nulls(b - a, pa.binary()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array([routing_key(h) for h in held], pa.int64()), pa.array(data, pa.binary()), pa.nulls(b - a, pa.binary()), none, none], schema=schema)
         if n_docs:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([n_docs]), pa.array([n_ids])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([n_docs]), pa.array([n_ids])], schema=schema)
 
-    return stage(rows.mapInArrow(run, "doc_id long, ids binary, terms binary, docs long, tokens long"), "packing-ids")
+    return stage(rows.mapInArrow(run, "doc_id long, route long, ids binary, terms binary, docs long, tokens long"), "packing-ids")
 
 
 def statistics(staged: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
@@ -95,10 +97,16 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(first, append=len(ordered))
 
 
+def routing_key(terms: np.ndarray, rarest: int = 16) -> int:
+    """Two least hashes of the rarest terms: a BPE vocabulary numbers its entries by the order of merges, so the highest ids are the rarest."""
+    hashes = np.sort(terms[-rarest:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33))
+    return int(hashes[0]) << 31 | int(hashes[min(1, len(hashes) - 1)])
+
+
 class Shard:
     """A BM25 inverted index over the documents of a shard."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75, query_terms: int = 24):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75, query_terms: int | None = None):
         self.n, size = len(docs), len(idf)
         lengths = np.array([len(d) for d in docs], np.int64)
         found = [distinct(d) for d in docs]
@@ -116,7 +124,7 @@ class Shard:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first."""
         terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
-        if len(terms) > self.query_terms:
+        if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
         terms = terms.astype(np.int64)
         at = spread(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
@@ -125,7 +133,7 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, query_terms: int = 24):
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, query_terms: int | None = None):
     """Pieces (document, start, length, sequence, offset) of a shard; every id lies in one piece."""
     if not docs:
         return
@@ -165,7 +173,7 @@ def _limit(left: int, window: int) -> int:
     return window if left >= window else 1 << (max(1, left).bit_length() - 1)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = 3_000_000, query_terms: int = 24, **columns) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = 1_000_000, query_terms: int | None = None, **columns) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     staged = tokenise(docs, path, end_id, **columns)
     size = encoder(path).library.get_vocab_size()
@@ -201,4 +209,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, shar
         if keys:
             yield flush()
 
-    return staged.where("ids is not null").select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    # a copy of a document is a row of its own, whatever their order
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("route", "doc_id", "size")
+    rows = staged.where("ids is not null").select("route", "doc_id", F.length("ids").alias("size"), "ids")
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "ids").select("doc_id", "ids").mapInArrow(run, SCHEMA)
