@@ -2,6 +2,9 @@
 
 Where Java needs possessive quantifiers (to survive very long texts) or RE2
 lacks lookaround, there is a form for each, with equal results.
+
+All of them are fixed values: what counts as a word, a placeholder, markup, a
+link or a plural rule is the behaviour of the checks.
 """
 
 SPACE = r"\p{Z}\t\n\x0B\f\r"
@@ -28,7 +31,9 @@ URL_RE2_MAIN = rf"(?i)[a-z][a-z0-9+.\-]*://[^{SPACE}]+|(?:mailto:)?[{WORD}.+\-]+
 
 PLURAL_PART = r"(?:[^|]++|\|\|)++"
 PLURAL_PART_RE2 = r"(?:[^|]|\|\|)+"
-PLURAL_RULE = r"^[ \t\n\r]*(?:\{[^{}]*\}|[\[\]][^\[\]]*[\[\]])[ \t\n\r]*"
+_BOUND = r"-?(?:Inf|\p{Nd}+(?:\.\p{Nd}+)?)"
+#: Numbers in braces, or an interval of two bounds in brackets of either direction.
+PLURAL_RULE = rf"^[{SPACE}]*(?:\{{[\p{{Nd}},{SPACE}]+\}}|[\[\]][{SPACE}]*{_BOUND}[{SPACE}]*,[{SPACE}]*{_BOUND}[{SPACE}]*[\[\]])[{SPACE}]*"
 TRIM = " \t\n\r\0\x0b"
 
 ICU_HINT = rf"\{{\s*[{WORD}]+\s*,\s*(?:plural|select|selectordinal|number|date|time|ordinal|duration|spellout)(?![{WORD}])"

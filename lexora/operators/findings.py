@@ -15,6 +15,7 @@ from lexora.errors import BaselineSchemaError
 from lexora.functions import text as T
 from lexora.operators import spellers
 from lexora.schema import BASELINE
+from lexora.staging import stage
 
 SCHEMA_VERSION, FINGERPRINT_SCHEMA = 1, "v1"
 
@@ -34,7 +35,9 @@ def build(unknown: DataFrame, most: int = spellers.MAX_SUGGESTIONS) -> DataFrame
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """By path, line and column (missing last), then word, then seed."""
+    """By path, line and column (missing last), then word, then seed. Ranging reads its input twice, so that it is staged first."""
+    if not hasattr(findings, "_staged"):
+        findings = stage(findings, "findings")
     return findings.orderBy(*[F.col(f"location.{c}").asc_nulls_last() for c in ("path", "line", "column")], "word", "seed")
 
 
@@ -118,6 +121,7 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("fingerprint", F.coalesce("b", "a").alias("r")).select("fingerprint", "r.*")
 
 
+#: The keys of the file and of its entries are fixed values.
 def save_baseline(baseline: DataFrame, path: str, config_hash: str = "", tool_version: str = "0.1.0", now: str | None = None) -> None:
     """Key-sorted JSON; the time stays if the keys are the same. A baseline is a file that people review, so its size is bounded by use."""
     entries = {r["fingerprint"]: {"word": r["word"], "type": r["type"], "language": r["language"], "context": dict(sorted((r["context"] or {}).items())), "seen_at": r["seen_at"]} for r in baseline.orderBy("fingerprint").toLocalIterator()}

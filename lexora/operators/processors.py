@@ -54,7 +54,7 @@ def normalize_apostrophe() -> Processor:
 
 
 def plural_parts(text: Column) -> Column:
-    """array<struct<start,raw,value>> of the plural forms of a message; empty where it has fewer than two."""
+    """array<struct<start,raw,value>> of the plural forms of a message that are not blank; null where no single pipe parts it."""
     raw = T.spans(text, P.PLURAL_PART)
 
     def part(s: Column) -> Column:
@@ -65,7 +65,7 @@ def plural_parts(text: Column) -> Column:
 
     parts = F.filter(F.transform(raw, part), lambda p: p["value"] != "")
     whole = F.aggregate(raw, F.lit(0), lambda a, s: a + F.length(s["text"]))
-    return F.when((whole < F.length(text)) & (F.size(parts) >= 2), parts).otherwise(F.slice(parts, 1, 0))
+    return F.when(whole < F.length(text), parts)
 
 
 def legacy_plural() -> Processor:
@@ -73,7 +73,8 @@ def legacy_plural() -> Processor:
 
     def apply(df: DataFrame) -> DataFrame:
         splits = (F.col("context.source") == "translation") & F.contains("text", F.lit("|"))
-        parts = df.withColumn("__parts", F.when(splits, plural_parts(F.col("text")))).withColumn("__part", F.explode_outer("__parts")).drop("__parts")
+        parts = df.withColumn("__parts", F.when(splits, plural_parts(F.col("text")))).where("__parts is null or size(__parts) > 0")
+        parts = parts.withColumn("__part", F.explode_outer("__parts")).drop("__parts")
         halves = F.split(F.col("__part.raw"), r"\|\|", -1)
         joined = F.zip_with(halves, F.slice(halves, F.lit(2), F.size(halves)), lambda h, after: F.when(after.isNotNull(), F.length(h) + 1).otherwise(F.length(h)))
         outs = T.running(joined)

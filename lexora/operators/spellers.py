@@ -6,7 +6,11 @@ check runs on distinct lower-cased words and is joined back.
 
 from __future__ import annotations
 
+import os
+import re
+import select
 import subprocess
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexora.errors import SpellerNotAvailable, SpellerProcessError
 from lexora.functions import text as T
+from lexora.staging import stage, unstage
 
 MAX_DISTANCE, MAX_SUGGESTIONS = 2, 3
 #: A dictionary of at most this many rows is broadcast; a larger one is joined by shuffle.
@@ -32,8 +37,8 @@ def unknown(words: DataFrame, known: DataFrame) -> DataFrame:
     known = known.select("language", F.col("word").alias("__lower")).distinct()
     hint = small(known)
     missing = words.withColumn("__lower", F.lower("word")).join(hint, ["language", "__lower"], "left_anti")
-    joined = missing.where(F.col("__lower").rlike("['’-]")).select("language", "__lower").distinct()
-    parts = joined.select("language", F.col("__lower").alias("whole"), F.explode(F.filter(F.split("__lower", "['’-]"), lambda p: F.length(p) > 1)).alias("__lower"))
+    joined = missing.where(F.col("__lower").rlike("['-]")).select("language", "__lower").distinct()
+    parts = joined.select("language", F.col("__lower").alias("whole"), F.explode(F.filter(F.split("__lower", "['-]"), lambda p: F.length(p) > 1)).alias("__lower"))
     found = parts.join(hint.withColumn("hit", F.lit(1)), ["language", "__lower"], "left").groupBy("language", "whole").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
     good = found.where("n >= 2 and n = hits").select("language", F.col("whole").alias("__lower"))
     return missing.join(good, ["language", "__lower"], "left_anti").drop("__lower")
@@ -139,37 +144,63 @@ def cache_key(config_hash: str, language: Column, word: Column, with_suggestions
 
 @dataclass
 class CachingSpeller:
-    """Checks each distinct lower-cased word once, keeps results (also that a word is known) in a Parquet table, and fans them out."""
+    """Checks each distinct lower-cased word once, keeps results (also that a word is known) in a Parquet table, and fans them out.
+
+    ttl: seconds after which a result is asked for again; 0 keeps it for ever.
+    A speller in its own right: languages and availability are those of inner.
+    """
 
     inner: object
     path: str
     config_hash: str = ""
+    ttl: int = 0
     hits: int = 0
     misses: int = 0
-    name: str = "cache"
+
+    @property
+    def name(self) -> str:
+        return self.inner.name
+
+    def is_available(self) -> bool:
+        return self.inner.is_available()
+
+    def languages(self) -> list[str]:
+        return self.inner.languages()
+
+    def supports(self, language: str) -> bool:
+        return self.inner.supports(language)
+
+    def describe(self) -> str:
+        return f"{self.inner.describe()} (cached)"
 
     def _cached(self, spark) -> DataFrame:
         from pyspark.errors import AnalysisException
 
         try:
-            return spark.read.parquet(self.path)
+            rows = spark.read.parquet(self.path)
         except AnalysisException:  # no cache yet
-            return spark.createDataFrame([], "cache_key string, is_known boolean, suggestions array<string>")
+            return spark.createDataFrame([], "cache_key string, is_known boolean, suggestions array<string>, stored_at timestamp")
+        if self.ttl > 0:
+            rows = rows.where(F.col("stored_at") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl)))
+        # a key is stored again when its time is over
+        return rows.groupBy("cache_key").agg(F.max_by(F.struct("is_known", "suggestions"), "stored_at").alias("r"), F.max("stored_at").alias("stored_at")).select("cache_key", "r.*", "stored_at")
 
     def check(self, words: DataFrame, with_suggestions: bool = True) -> DataFrame:
         spark = words.sparkSession
         keyed = words.withColumn("cache_key", cache_key(self.config_hash, F.col("language"), F.col("word"), with_suggestions))
         # the representative of a key is its smallest spelling
         asked = keyed.groupBy("cache_key").agg(F.min(F.struct("word", "language")).alias("r")).select("cache_key", "r.word", "r.language")
-        cached = self._cached(spark)
-        new = asked.join(cached, "cache_key", "left_anti")
-        total, self_misses = asked.count(), new.count()
-        self.hits, self.misses = self.hits + total - self_misses, self.misses + self_misses
-        if self_misses:
+        asked = stage(asked.join(self._cached(spark).select("cache_key", F.lit(True).alias("hit")), "cache_key", "left"), "asked")
+        new = asked.where("hit is null").drop("hit")
+        total, misses = asked.count(), new.count()
+        self.hits, self.misses = self.hits + total - misses, self.misses + misses
+        if misses:
             found = self.inner.check(new, with_suggestions)
             rows = new.select("cache_key").join(found.select("cache_key", "suggestions"), "cache_key", "left")
-            rows.select("cache_key", F.col("suggestions").isNull().alias("is_known"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions")).write.mode("append").parquet(self.path)
-        bad = self._cached(spark).where(~F.col("is_known")).dropDuplicates(["cache_key"]).drop("is_known")
+            rows = rows.select("cache_key", F.col("suggestions").isNull().alias("is_known"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"), F.current_timestamp().alias("stored_at"))
+            rows.write.mode("append").parquet(self.path)
+        unstage(asked)
+        bad = self._cached(spark).where(~F.col("is_known")).select("cache_key", "suggestions")
         return keyed.join(bad, "cache_key").drop("cache_key")
 
 
@@ -200,6 +231,9 @@ class ChainSpeller:
     def supports(self, language: str) -> bool:
         return any(s.is_available() and s.supports(language) for s in self.spellers)
 
+    def describe(self) -> str:
+        return " -> ".join(s.describe() for s in self.spellers if s.is_available())
+
     def check(self, words: DataFrame, with_suggestions: bool = True) -> DataFrame:
         spoken = sorted(r[0] for r in words.select("language").where("language is not null").distinct().collect())
         by: dict[int, tuple[object, list[str]]] = {}
@@ -226,13 +260,72 @@ def read_answer(line: str) -> tuple[bool, list[str]] | None:
     return None
 
 
+class Conversation:
+    """A process that speaks the ispell pipe protocol; every wait for it ends after `timeout` seconds."""
+
+    def __init__(self, command: list[str], timeout: float, terse: bool) -> None:
+        self.timeout, self.buffer = timeout, b""
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        self.banner = self._line()
+        if terse:  # known words give no line
+            self._say("!")
+
+    def _say(self, line: str) -> None:
+        self.process.stdin.write(f"{line}\n".encode())
+        self.process.stdin.flush()
+
+    def _line(self) -> str:
+        until = time.monotonic() + self.timeout
+        while b"\n" not in self.buffer:
+            ready, _, _ = select.select([self.process.stdout], [], [], max(0.0, until - time.monotonic()))
+            if not ready:
+                raise SpellerProcessError(f"no answer within {self.timeout:g} s")
+            data = os.read(self.process.stdout.fileno(), 1 << 16)
+            if not data:
+                raise SpellerProcessError("the speller process has ended")
+            self.buffer += data
+        line, _, self.buffer = self.buffer.partition(b"\n")
+        return line.decode("utf-8", "replace").rstrip("\r")
+
+    def ask(self, word: str) -> tuple[bool, list[str]]:
+        """(known, suggestions): the first line that is an answer, up to the blank line that ends it."""
+        self._say(f"^{word}")
+        answer = None
+        while line := self._line():
+            answer = answer or read_answer(line)
+        return answer or (True, [])
+
+    def stop(self) -> None:
+        self.process.kill()
+        self.process.wait()
+
+
+def _output(command: list[str], timeout: float) -> str:
+    """What a command says on both streams, given no input; nothing if it can't be run in time."""
+    try:
+        done = subprocess.run(command, input=b"", capture_output=True, timeout=timeout)
+    except (OSError, subprocess.TimeoutExpired):
+        return ""
+    return (done.stderr + b"\n" + done.stdout).decode("utf-8", "replace")
+
+
 @dataclass
 class PipeSpeller:
-    """An ispell-compatible process per task and language; {language} in the command is replaced. Restarted once per task."""
+    """An ispell-compatible process per task and language, restarted once per task.
+
+    {language} in the command is replaced, and {dictionaries} by the language
+    and its own extra dictionaries. Languages are those given, or those that
+    `list_command` names on this machine. terse: whether known words are
+    answered by a blank line alone.
+    """
 
     command: tuple[str, ...]
-    known_languages: tuple[str, ...] = ()
+    known_languages: tuple[str, ...] | None = None
+    dictionaries: dict[str, tuple[str, ...]] | None = None
+    list_command: tuple[str, ...] = ()
     max_suggestions: int = MAX_SUGGESTIONS
+    timeout: float = 10.0
+    terse: bool = True
     name: str = "pipe"
 
     def is_available(self) -> bool:
@@ -241,38 +334,27 @@ class PipeSpeller:
         return shutil.which(self.command[0]) is not None
 
     def languages(self) -> list[str]:
+        if self.known_languages is None:
+            listed = _output(list(self.list_command), self.timeout) if self.list_command and self.is_available() else ""
+            self.known_languages = tuple(language_names(listed))
         return list(self.known_languages)
 
     def supports(self, language: str) -> bool:
-        return language in self.known_languages
+        return language.replace("-", "_") in self.languages()
 
     def describe(self) -> str:
-        return f"{self.name}: {' '.join(self.command)}"
+        version = _output([self.command[0], "--version"], 5.0).strip().splitlines()
+        return version[0] if version else f"{self.name}: {' '.join(self.command)}"
+
+    def command_for(self, language: str) -> list[str]:
+        every = ",".join([language, *(self.dictionaries or {}).get(language, ())])
+        return [c.replace("{language}", language).replace("{dictionaries}", every) for c in self.command]
 
     def check(self, words: DataFrame, with_suggestions: bool = True) -> DataFrame:
-        command, most = self.command, self.max_suggestions
-
-        def start(language: str) -> subprocess.Popen:
-            p = subprocess.Popen([c.replace("{language}", language) for c in command], stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8")
-            p.stdout.readline()  # the banner
-            p.stdin.write("!\n")  # terse: known words give no line
-            p.stdin.flush()
-            return p
-
-        def ask(p: subprocess.Popen, word: str) -> tuple[bool, list[str]]:
-            p.stdin.write(f"^{word}\n")
-            p.stdin.flush()
-            answer: tuple[bool, list[str]] = (True, [])
-            while True:
-                line = p.stdout.readline()
-                if not line:
-                    raise SpellerProcessError("the speller process has ended")
-                if not line.strip():
-                    return answer
-                answer = read_answer(line.rstrip("\n")) or answer
+        speller = self
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            open_: dict[str, subprocess.Popen] = {}
+            open_: dict[str, Conversation] = {}
             restarts = 1
             try:
                 for batch in batches:
@@ -281,29 +363,37 @@ class PipeSpeller:
                         for attempt in (0, 1):
                             try:
                                 if language not in open_:
-                                    open_[language] = start(language)
-                                known, found = ask(open_[language], word)
+                                    open_[language] = Conversation(speller.command_for(language.replace("-", "_")), speller.timeout, speller.terse)
+                                known, found = open_[language].ask(word)
                                 break
                             except (OSError, SpellerProcessError) as e:
-                                open_.pop(language, None)
+                                if language in open_:
+                                    open_.pop(language).stop()
                                 if attempt or not restarts:
-                                    raise SpellerProcessError(str(e)) from e
+                                    raise SpellerProcessError(f"{speller.name}: {e}") from e
                                 restarts -= 1
                         if not known:
-                            rows.append((language, word, found[:most] if with_suggestions else []))
+                            rows.append((language, word, found[: speller.max_suggestions] if with_suggestions else []))
                     yield pd.DataFrame(rows, columns=["language", "word", "suggestions"])
             finally:
                 for p in open_.values():
-                    p.kill()
+                    p.stop()
 
         asked = words.select("language", "word").distinct().repartition("language", "word")
         bad = asked.mapInPandas(run, "language string, word string, suggestions array<string>")
         return words.join(bad, ["language", "word"])
 
 
-def hunspell(languages: tuple[str, ...], dictionaries: dict[str, str] | None = None) -> PipeSpeller:
-    return PipeSpeller(("hunspell", "-a", "-i", "UTF-8", "-d", "{language}" if not dictionaries else ",".join(["{language}", *dictionaries.values()])), languages, name="hunspell")
+def language_names(listing: str) -> list[str]:
+    """Names of languages among the lines of a listing; paths stand for their last part."""
+    names = (line.strip().replace("\\", "/").rpartition("/")[2] for line in listing.splitlines() if ":" not in line)
+    return list(dict.fromkeys(n for n in names if re.fullmatch(r"[a-z]{2,3}(_[A-Za-z]{2,4})?(-[\w-]+)?", n)))
+
+
+def hunspell(languages: tuple[str, ...] | None = None, dictionaries: dict[str, tuple[str, ...]] | None = None) -> PipeSpeller:
+    """dictionaries: extra ones of each language."""
+    return PipeSpeller(("hunspell", "-a", "-i", "utf-8", "-d", "{dictionaries}"), languages, dictionaries, ("hunspell", "-D"), name="hunspell")
 
 
-def aspell(languages: tuple[str, ...]) -> PipeSpeller:
-    return PipeSpeller(("aspell", "-a", "--encoding=utf-8", "-l", "{language}"), languages, name="aspell")
+def aspell(languages: tuple[str, ...] | None = None) -> PipeSpeller:
+    return PipeSpeller(("aspell", "-a", "--lang={language}", "--encoding=utf-8"), languages, None, ("aspell", "dicts"), name="aspell")

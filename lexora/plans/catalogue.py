@@ -6,9 +6,10 @@ documents of a language, and, for all languages, the words of the benchmark.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexora.functions import offsets as O
@@ -20,6 +21,7 @@ from lexora.operators import findings as R
 from lexora.operators import processors as PR
 from lexora.plans.runner import Runner
 from lexora.sources import fragments as S
+from lexora.staging import shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,7 +67,7 @@ known AS (SELECT lang, word FROM dict UNION SELECT lang, word FROM bench CROSS J
 #: Unknown words: not known, and no compound of two or more known parts.
 SQL_UNKNOWN = f"""
 missing AS (SELECT t.* FROM tokens t LEFT JOIN known k ON t.lang = k.lang AND lower(t.word) = k.word WHERE k.word IS NULL),
-parts AS (SELECT lang, word, unnest(string_split_regex(word, '[''’-]')) AS p FROM (SELECT DISTINCT lang, lower(word) AS word FROM missing WHERE regexp_matches(word, '[''’-]'))),
+parts AS (SELECT lang, word, unnest(string_split_regex(word, '[''-]')) AS p FROM (SELECT DISTINCT lang, lower(word) AS word FROM missing WHERE regexp_matches(word, '[''-]'))),
 compounds AS (SELECT p.lang, p.word FROM parts p LEFT JOIN known k ON p.lang = k.lang AND p.p = k.word WHERE length(p.p) > 1 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) = count(k.word)),
 unknown AS (SELECT m.* FROM missing m LEFT JOIN compounds c ON m.lang = c.lang AND lower(m.word) = c.word WHERE c.word IS NULL)
 """
@@ -76,6 +78,10 @@ found AS (SELECT doc_id, lang, word, idx, off, text, {SQL_PRINT} AS fingerprint,
   CAST(length(string_split(text[:off], chr(10))[-1]) + 1 AS INTEGER) AS col FROM unknown)
 """
 SQL_ALL = f"WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN}, {SQL_FOUND}"
+#: The same for a dictionary without the words of the benchmark: known0, unknown0, found0.
+SQL_BEFORE = "known0 AS (SELECT lang, word FROM dict), " + re.sub(r"\b(known|missing|parts|compounds|unknown|found)\b", r"\g<1>0", f"{SQL_UNKNOWN}, {SQL_FOUND}")
+SQL_BOTH = f"{SQL_ALL}, {SQL_BEFORE}"
+SQL_EXCERPT = """CASE WHEN b > 0 THEN '...' ELSE '' END || trim(regexp_replace(text[b + 1 : b + length(word) + 64], '[\\p{Z}\\t\\n\\x0B\\f\\r\\x{85}]+', ' ', 'g')) || CASE WHEN off + length(word) + 32 < length(text) THEN '...' ELSE '' END"""
 
 
 def document_fragments(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,31 +107,41 @@ def plain_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.explode(found).alias("word"))
 
 
-def corpus_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """word, language, pos, source; pos is an order that doesn't depend on partitions."""
+def corpus_dictionary(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
+    """word, language, pos, source; pos is an order that doesn't depend on partitions. Staged, as it is read often; bench: also the words of the benchmark."""
     own = plain_words(spark, sf).select("doc_id", "language", F.lower("word").alias("word")).distinct().groupBy("language", "word").count().where(F.col("count") >= MIN_DOCS)
     found = F.filter(F.regexp_extract_all("text", F.lit(P.PROSE), F.lit(0)), lambda w: F.length(w) >= tokenizers.MIN_LENGTH)
-    bench = table(spark, sf, "benchmark").select(F.explode(found).alias("word")).select(F.lower("word").alias("word")).distinct()
-    rows = own.select("word", "language", F.lit("corpus").alias("source")).unionByName(bench.select("word", F.lit(None).cast("string").alias("language"), F.lit("benchmark").alias("source")))
-    return rows.select("word", "language", F.lit(0).cast("long").alias("pos"), "source")
+    rows = own.select("word", "language", F.lit("corpus").alias("source"))
+    if bench:
+        words = table(spark, sf, "benchmark").select(F.explode(found).alias("word")).select(F.lower("word").alias("word")).distinct()
+        rows = rows.unionByName(words.select("word", F.lit(None).cast("string").alias("language"), F.lit("benchmark").alias("source")))
+    return stage(rows.select("word", "language", F.lit(0).cast("long").alias("pos"), "source"), "dictionary")
 
 
-def known_words(spark: SparkSession, sf: str) -> DataFrame:
-    languages = [r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect()]  # a handful
-    return D.for_languages(corpus_dictionary(spark, sf), languages)
+def languages_of(spark: SparkSession, sf: str) -> list[str]:
+    return [r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect()]  # a handful
 
 
-def unknown_tokens(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
+def known_words(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
+    return stage(D.for_languages(corpus_dictionary(spark, sf, bench), languages_of(spark, sf)), "known")
+
+
+def unknown_words(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
+    """(language, word) of the distinct unknown words, lower-cased; staged."""
+    vocabulary = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
+    return stage(spellers.unknown(vocabulary, known_words(spark, sf, bench)), "unknown")
+
+
+def unknown_tokens(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True) -> DataFrame:
     """Tokens that are unknown; each distinct word is checked once."""
-    vocabulary = plain_words(spark, sf).select("language", F.lower("word").alias("__lower")).distinct()
-    missing = spellers.unknown(vocabulary.withColumnRenamed("__lower", "word"), known_words(spark, sf)).withColumnRenamed("word", "__lower")
+    missing = unknown_words(spark, sf, bench).withColumnRenamed("word", "__lower")
     rows = tokens(spark, sf, excerpts).withColumn("__lower", F.lower("word"))
     return rows.join(spellers.small(missing), ["language", "__lower"]).drop("__lower")
 
 
-def found(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
+def found(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True) -> DataFrame:
     """Findings of the documents, one place per word, without suggestions."""
-    rows = unknown_tokens(spark, sf, excerpts)
+    rows = unknown_tokens(spark, sf, excerpts, bench)
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"))
     context = F.struct(F.lit("document").alias("source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("attributes"))
     rows = rows.select("*", context.alias("context"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fragment_id"), F.array().cast("array<string>").alias("suggestions"))
@@ -198,13 +214,17 @@ _processed("strip_urls", P.URL, f"regexp_replace(regexp_replace({SQL_TEXT}, '{li
 _processed("strip_markdown", P.MARKDOWN, f"regexp_replace({SQL_TEXT}, '{literal(P.MARKDOWN_RE2)}', ' ', 'g')")
 
 
+#: Rules in numbers only, and brackets that are none; a blank part, and a doubled pipe.
+PLURAL_BEFORE, PLURAL_AFTER = "{0} None a||b|]0,1] One| |{name} kept|[beta] kept|{1, 2} few|[2,Inf[ some|[-Inf , 0.5] less| ", "|]1,Inf] many"
+
+
 @query(f"""
-WITH r AS (SELECT doc_id, t, regexp_extract_all(t, '{literal(P.PLURAL_PART_RE2)}') AS m FROM (SELECT doc_id, '{{0}} None a||b|]0,1] One| ' || text || '|]1,Inf] many' AS t FROM documents)),
-p AS (SELECT doc_id, i, trim(replace(regexp_replace(x, '{literal(P.PLURAL_RULE)}', ''), '||', '|'), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS v FROM (SELECT doc_id, unnest(m) AS x, unnest(range(len(m))) AS i FROM r))
+WITH r AS (SELECT doc_id, string_split(replace('{PLURAL_BEFORE}' || text || '{PLURAL_AFTER}', '||', chr(1)), '|') AS m FROM documents),
+p AS (SELECT doc_id, i, trim(replace(regexp_replace(x, '^\\s*(\\{{[0-9 ,]+\\}}|[\\[\\]] *-?(Inf|[0-9]+([.][0-9]+)?) *, *-?(Inf|[0-9]+([.][0-9]+)?) *[\\[\\]])\\s*', ''), chr(1), '|'), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS v FROM (SELECT doc_id, unnest(m) AS x, unnest(range(len(m))) AS i FROM r))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS part, md5(v) AS part_md5 FROM p WHERE v <> ''
 """)
 def legacy_plural_split(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("{0} None a||b|]0,1] One| "), F.col("text"), F.lit("|]1,Inf] many"))
+    text = F.concat(F.lit(PLURAL_BEFORE), F.col("text"), F.lit(PLURAL_AFTER))
     return table(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", F.posexplode(PR.plural_parts(F.col("t"))).alias("part", "p")).select("doc_id", "part", F.md5("p.value").alias("part_md5"))
 
 
@@ -298,7 +318,7 @@ def dictionary_language_scope(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SQL_TOKENS}, {SQL_DICT},
 w AS (SELECT DISTINCT lang, lower(word) AS word FROM tokens),
 c AS (SELECT lang, word || '-' || lead(word) OVER (PARTITION BY lang ORDER BY word) AS whole FROM w),
-p AS (SELECT lang, whole, unnest(string_split_regex(whole, '[''’-]')) AS p FROM c WHERE whole IS NOT NULL),
+p AS (SELECT lang, whole, unnest(string_split_regex(whole, '[''-]')) AS p FROM c WHERE whole IS NOT NULL),
 good AS (SELECT p.lang, p.whole FROM p LEFT JOIN known k ON p.lang = k.lang AND p.p = k.word WHERE length(p.p) > 1 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) = count(k.word))
 SELECT DISTINCT lang AS language, whole AS word FROM c WHERE whole IS NOT NULL AND (lang, whole) NOT IN (SELECT lang, whole FROM good) AND (lang, whole) NOT IN (SELECT lang, word FROM known)""")
 def compound_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,9 +344,7 @@ def suggest_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf: str) -> DataFrame:
-    words = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
-    missing = spellers.unknown(words, known_words(spark, sf)).select("word").distinct()
-    return spellers.suggestions(missing, corpus_dictionary(spark, sf))
+    return spellers.suggestions(unknown_words(spark, sf).select("word").distinct(), corpus_dictionary(spark, sf))
 
 
 @query(f"""WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN}, {SQL_BEST},
@@ -346,8 +364,7 @@ def suggestion_formatter(spark: SparkSession, sf: str) -> DataFrame:
 def cached_check_fanout(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct word is checked once and fanned out to where it stands."""
     counts = plain_words(spark, sf).groupBy("doc_id", "language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    checked = spellers.unknown(counts.select("language", "word").distinct(), known_words(spark, sf))
-    return counts.join(checked, ["language", "word"]).groupBy("doc_id").agg(F.sum("n").alias("unknown_words"), F.count(F.lit(1)).alias("distinct_unknown"))
+    return counts.join(spellers.small(unknown_words(spark, sf)), ["language", "word"]).groupBy("doc_id").agg(F.sum("n").alias("unknown_words"), F.count(F.lit(1)).alias("distinct_unknown"))
 
 
 # --- findings -----------------------------------------------------------------
@@ -390,32 +407,57 @@ def filter_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return R.baseline_filter(even_baseline(rows)).apply(rows.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: A baseline of even documents against a run over documents whose id 3 divides.
-@query(f"{SQL_ALL} SELECT DISTINCT fingerprint FROM found WHERE doc_id % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM found WHERE doc_id % 3 = 0)")
+#: A baseline of all documents from before the words of the benchmark were in the dictionary, and a run of all documents after.
+@query(f"{SQL_BOTH} SELECT DISTINCT fingerprint FROM found0 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)")
 def baseline_outdated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = found(spark, sf)
-    return R.outdated(even_baseline(rows), rows.where("doc_id % 3 = 0")).select("fingerprint")
+    return R.outdated(R.record(found(spark, sf, bench=False)), found(spark, sf)).select("fingerprint")
 
 
-@query(f"{SQL_ALL} SELECT DISTINCT fingerprint FROM found WHERE doc_id % 2 = 0 AND fingerprint IN (SELECT fingerprint FROM found WHERE doc_id % 3 = 0)")
+@query(f"{SQL_BOTH} SELECT DISTINCT fingerprint FROM found0 WHERE fingerprint IN (SELECT fingerprint FROM found)")
 def baseline_prune(spark: SparkSession, sf: str) -> DataFrame:
-    rows = found(spark, sf)
-    return R.pruned(even_baseline(rows), rows.where("doc_id % 3 = 0")).select("fingerprint")
+    return R.pruned(R.record(found(spark, sf, bench=False)), found(spark, sf)).select("fingerprint")
 
 
-@query(f"""{SQL_ALL}, f AS (SELECT fingerprint, doc_id, arg_max(word, idx) AS word FROM found GROUP BY 1, 2)
-SELECT fingerprint, max(CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END) AS seen_at, any_value(word) AS word FROM f WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1""")
+@query(f"""{SQL_BOTH}, a AS (SELECT fingerprint, arg_max(word, idx) AS word FROM found0 GROUP BY 1), b AS (SELECT fingerprint, arg_max(word, idx) AS word FROM found GROUP BY 1)
+SELECT fingerprint, CASE WHEN b.word IS NULL THEN 'first' ELSE 'second' END AS seen_at, coalesce(b.word, a.word) AS word FROM a FULL JOIN b USING (fingerprint)""")
 def baseline_merge(spark: SparkSession, sf: str) -> DataFrame:
-    rows = found(spark, sf)
-    return R.merged(R.record(rows.where("doc_id % 2 = 0"), seen_at="first"), R.record(rows.where("doc_id % 3 = 0"), seen_at="second")).select("fingerprint", "seen_at", "word")
+    return R.merged(R.record(found(spark, sf, bench=False), seen_at="first"), R.record(found(spark, sf), seen_at="second")).select("fingerprint", "seen_at", "word")
+
+
+@query(f"{SQL_BOTH} SELECT lang AS language, lower(word) AS word, count(*) AS n FROM found0 WHERE lower(word) NOT IN (SELECT word FROM bench) GROUP BY 1, 2")
+def filter_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings against the words of the corpus, less those in the words of the benchmark."""
+    bench = D.for_languages(corpus_dictionary(spark, sf).where("source = 'benchmark'"), languages_of(spark, sf))
+    rows = unknown_tokens(spark, sf, bench=False).select("language", "word")
+    return R.chain(rows, [R.dictionary_filter(bench)]).groupBy("language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{SQL_BOTH} SELECT DISTINCT lang AS language, lower(word) AS word FROM unknown0 WHERE lang = 'en' UNION SELECT DISTINCT lang, lower(word) FROM unknown WHERE lang <> 'en'")
+def chain_speller(spark: SparkSession, sf: str) -> DataFrame:
+    """English is known to the first speller, with the corpus' own words; other languages fall to the second."""
+    english = D.clean(corpus_dictionary(spark, sf, bench=False).where("language = 'en'"))
+    speller = spellers.ChainSpeller([spellers.WordListSpeller(english, name="english"), spellers.WordListSpeller(corpus_dictionary(spark, sf))])
+    words = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
+    return speller.check(words, with_suggestions=False).select("language", "word")
 
 
 # --- statistics ---------------------------------------------------------------
 
 
-@query(f"WITH {SQL_WORDS}, w AS (SELECT * FROM words WHERE length(word) >= 4) SELECT (SELECT count(*) FROM documents) AS fragments, (SELECT count(DISTINCT doc_id) FROM documents) AS files_scanned, count(*) AS words_checked, count(DISTINCT lang || '|' || lower(word)) AS unique_words_checked, CAST(0.75 AS DOUBLE) AS cache_hit_rate FROM w")
+#: The words of the documents, checked through a cache, and then those of the conversations; the rate is that of both.
+@query(f"""WITH {SQL_WORDS}, w AS (SELECT * FROM words WHERE length(word) >= 4), a AS (SELECT DISTINCT lang, lower(word) AS word FROM w),
+t AS (SELECT DISTINCT 'en' AS lang, lower(x) AS word FROM (SELECT unnest(regexp_extract_all(text, '{literal(P.PROSE_RE2)}')) AS x FROM conversations) WHERE length(x) >= 4)
+SELECT (SELECT count(*) FROM documents) AS fragments, (SELECT count(DISTINCT doc_id) FROM documents) AS files_scanned, count(*) AS words_checked, count(DISTINCT lang || '|' || lower(word)) AS unique_words_checked,
+(SELECT count(*) FROM t JOIN a USING (lang, word)) AS cache_hits, (SELECT count(*) FROM a) + (SELECT count(*) FROM t ANTI JOIN a USING (lang, word)) AS cache_misses,
+round((SELECT count(*) FROM t JOIN a USING (lang, word)) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM t)), 4) AS cache_hit_rate FROM w""")
 def run_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return R.statistics(document_fragments(spark, sf), plain_words(spark, sf), hits=3, misses=1).select("fragments", "files_scanned", "words_checked", "unique_words_checked", F.col("cache_hit_rate").cast("double").alias("cache_hit_rate"))
+    speller = spellers.CachingSpeller(spellers.WordListSpeller(corpus_dictionary(spark, sf)), shared_dir(spark, "speller-cache"))
+    found_ = F.filter(F.regexp_extract_all("text", F.lit(P.PROSE), F.lit(0)), lambda w: F.length(w) >= tokenizers.MIN_LENGTH)
+    talk = table(spark, sf, "conversations").select(F.lit("en").alias("language"), F.explode(found_).alias("word"))
+    for words in (plain_words(spark, sf).select("language", "word"), talk):
+        speller.check(words, with_suggestions=False)
+    rows = R.statistics(document_fragments(spark, sf), plain_words(spark, sf), hits=speller.hits, misses=speller.misses)
+    return rows.select("fragments", "files_scanned", "words_checked", "unique_words_checked", "cache_hits", "cache_misses", F.col("cache_hit_rate").cast("double").alias("cache_hit_rate"))
 
 
 @query(f"WITH {SQL_WORDS} SELECT lang AS language, count(*) AS words FROM words WHERE length(word) >= 4 GROUP BY 1")
@@ -469,6 +511,29 @@ def report_junit(spark: SparkSession, sf: str) -> DataFrame:
     return cases.groupBy(name.alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{SQL_ALL}, x AS (SELECT *, greatest(0, off - 32) AS b FROM found), y AS (SELECT *, {SQL_EXCERPT} AS excerpt FROM x)
+SELECT '{{"word":"' || word || '","type":"spelling","suggestions":[],"language":"' || lang || '","context":{{"source":"document","attributes":{{"id":"' || doc_id || '"}}}},"location":{{"path":"documents/' || doc_id || '","line":' || line || ',"column":' || col
+  || '}},"excerpt":"' || replace(replace(excerpt, '\\', '\\\\'), '"', '\\"') || '","severity":"error","fingerprint":"' || fingerprint || '"}}' AS value FROM y""")
+def report_json(spark: SparkSession, sf: str) -> DataFrame:
+    return report.json_rows(found(spark, sf, excerpts=True))
+
+
+@query(f"""{SQL_ALL}, x AS (SELECT *, line || ':' || col AS place FROM found)
+SELECT 'Code' AS "group", 'documents/' || doc_id AS file, '    ' || CASE WHEN length(place) < 14 THEN rpad(place, 14, ' ') ELSE place END || '  ' || CASE WHEN length(word) < 24 THEN rpad(word, 24, ' ') ELSE word END || '  (no suggestion)  ' AS value FROM x""")
+def report_table(spark: SparkSession, sf: str) -> DataFrame:
+    return report.table(found(spark, sf))
+
+
+@query("SELECT 'icu_syntax' AS code, 'documents/' || doc_id AS path FROM documents WHERE lang = 'fr'")
+def run_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's text as a branch of a message, which is not closed in French ones."""
+    plain = F.regexp_replace("text", "['{}#|]", " ")
+    closed = F.when(F.col("language") == "fr", "").otherwise("}}")
+    rows = document_fragments(spark, sf).withColumn("text", F.concat(F.lit("{n, plural, other {"), plain, closed))
+    rows = rows.withColumn("context", F.struct(F.lit("translation").alias("source"), F.col("context.attributes").alias("attributes")))
+    return R.distinct_diagnostics(PR.icu_diagnostics(rows)).select("code", F.col("location.path").alias("path"))
+
+
 # --- grammars: no SQL twin ----------------------------------------------------
 
 
@@ -524,6 +589,47 @@ def key_locators(spark: SparkSession, sf: str) -> DataFrame:
     return locators.locate(wanted, files).select("p_partkey", "line", "path")
 
 
+def _catalogues(spark: SparkSession, suffix: str, head: str, line: Column, tail: str) -> Callable[[DataFrame], DataFrame]:
+    """A file per brand of part with a line per part, in the order of keys."""
+
+    def build(part: DataFrame) -> DataFrame:
+        rows = part.select(F.replace("p_brand", F.lit("#"), F.lit("_")).alias("domain"), F.struct("p_partkey", line.alias("line")).alias("r"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n")
+        return rows.groupBy("domain").agg(body.alias("body")).select(F.concat(F.lit("lang/"), F.col("domain"), F.lit(f".en.{suffix}")).alias("path"), F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("text"))
+
+    return build
+
+
+def _sql_lines(suffix: str, head: int, asked: str) -> str:
+    return f"""WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_brand FROM part)
+SELECT p_partkey, asked, CAST(n + {head} AS INTEGER) AS line, 'lang/' || replace(p_brand, '#', '_') || '.en.{suffix}' AS path FROM r CROSS JOIN (SELECT unnest([{asked}]) AS asked)"""
+
+
+def _asked(part: DataFrame, what: dict[str, tuple[Column, Column]]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("asked"), key.alias("key"), value.alias("value")) for name, (key, value) in what.items()]))
+    return part.select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("_")).alias("domain"), F.lit("en").alias("locale"), each.alias("w")).select("p_partkey", "domain", "locale", "w.*")
+
+
+@query(_sql_lines("xlf", 2, "'resname', 'id', 'source', 'target'"))
+def key_locators_xliff(spark: SparkSession, sf: str) -> DataFrame:
+    part, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    name = F.concat(F.col("p_name"), F.lit(" & no. "), key)
+    line = F.concat(F.lit('<trans-unit id="u'), key, F.lit('" resname="part.k'), key, F.lit('"><source>'), F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit('</source><target state="final">T&quot;'), key, F.lit("</target></trans-unit>"))
+    files = _catalogues(spark, "xlf", '<?xml version="1.0"?>\n<xliff>\n', line, "\n</xliff>")(part)
+    none = F.lit("none")
+    what = {"resname": (F.concat(F.lit("part.k"), key), none), "id": (F.concat(F.lit("u"), key), none), "source": (name, none), "target": (none, F.concat(F.lit('T"'), key))}
+    return locators.locate(_asked(part, what), files).select("p_partkey", "asked", "line", "path")
+
+
+@query(_sql_lines("php", 2, "'single', 'double'"))
+def key_locators_php(spark: SparkSession, sf: str) -> DataFrame:
+    part, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    line = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("    'it\\'s.k"), key, F.lit("' => "))).otherwise(F.concat(F.lit('    "it\'s.k'), key, F.lit('" => '))), F.lit("'a' . 'b',"))
+    files = _catalogues(spark, "php", "<?php\nreturn [\n", line, "\n];\n")(part)
+    wanted = F.concat(F.lit("it's.k"), key)
+    return locators.locate(_asked(part, {"single": (wanted, F.lit("none")), "double": (wanted, F.lit("other"))}), files).select("p_partkey", "asked", "line", "path")
+
+
 @query()
 def whole_run(spark: SparkSession, sf: str) -> DataFrame:
     """The runner from end to end over all documents: processors, speller with suggestions, filters, order."""
