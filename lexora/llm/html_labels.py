@@ -1,4 +1,7 @@
-"""The small labelled table of operator 7: written pages, with a label (1: main text) for each text block in page order."""
+"""The small labelled table of operator 7: written pages, and pages composed by rule, with a label (1: main text) for each text block in page order."""
+
+import random
+from collections.abc import Iterable
 
 PAGES: list[tuple[str, list[int]]] = [
     ('<html><head><title>Rivers</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
@@ -26,3 +29,111 @@ PAGES: list[tuple[str, list[int]]] = [
     ('<main><div class="sidebar"><p>Links of the week and the people who sent them in to us, with thanks.</p></div><article><h2>Glass</h2><p>Sand, melted.</p><blockquote>It is a slow liquid, they said.</blockquote><table><tr><td>Heat</td><td>1700</td></tr></table></article></main>', [0, 1, 1, 1, 1, 1]),
     ('<body><div id="content"><p>Wool.</p><p>It keeps warm when wet, and that is why sailors wore it on the long way north.</p></div><div id="comments"><p>Ann: my own coat is made of it and I am never cold.</p><p>Bob: nice</p></div>', [1, 1, 0, 0]),
 ]
+
+_NOUNS = "harbour river stone garden letter market winter captain engine bridge window field teacher paper mountain village song table forest lamp".split()
+_VERBS = "keeps follows opens carries finds leaves holds reaches turns meets builds covers".split()
+_ADVERBS = "slowly again every year without a word in the evening near the old road for some time as before".split(" ")
+BOILER = (
+    "sidebar", "ad-slot", "cookie-banner", "newsletter-box", "comments", "comment-list", "related-posts", "breadcrumb", "site-footer", "main-nav", "sponsored", "promo-box", "popup-window", "pagination", "share-buttons sharing", "subscribe",
+    "navMenu", "userComments", "relatedStories",
+)
+DOUBTFUL = ("side", "search", "login-form", "notice", "alert", "header", "toc", "social", "share", "legal", "skip-links", "widget", "rating", "form", "reply-box", "popular")
+CONTENT = ("post-body", "entry-content", "story", "article-text", "main-content", "content", "prose")
+BOTH = ("form-factor", "side-effects", "notice-period", "search-party", "legal-history", "social-life", "header-image-story", "box", "list", "share-of-land", "alert-level")
+
+
+def _sentence(rng: random.Random, n: int) -> str:
+    out = []
+    while len(out) < n:
+        out += ["the", rng.choice(_NOUNS), rng.choice(_VERBS), "the", rng.choice(_NOUNS), rng.choice(_ADVERBS)]
+    text = " ".join(out[:n])
+    return text[0].upper() + text[1:] + "."
+
+
+def composed(numbers: Iterable[int]) -> list[tuple[str, list[int]]]:
+    """A page for each number, always the same: articles in semantic, named and bare frames, among boilerplate as links and as prose."""
+    pages = []
+    for number in numbers:
+        rng = random.Random(number)
+        html: list[str] = []
+        labels: list[int] = []
+
+        def links(k: int, tag: str) -> None:
+            for _ in range(k):
+                html.append(f'<{tag}><a href="/{rng.choice(_NOUNS)}">{" ".join(rng.sample(_NOUNS, rng.choice((1, 1, 2, 3, 5, 8, 12))))}</a></{tag}>')
+                labels.append(0)
+
+        def prose(label: int, low: int, high: int) -> None:
+            text = _sentence(rng, rng.randint(low, high))
+            if label and rng.random() < 0.25:
+                words = text.split(" ")
+                k = rng.randrange(len(words))
+                words[k] = f'<a href="/x">{words[k]}</a>'
+                text = " ".join(words)
+            html.append(f"<p>{text}</p>")
+            labels.append(label)
+
+        def boiler(name: str) -> None:
+            tag = rng.choice((f'div class="{name}"', f'section id="{name}"'))
+            html.append(f"<{tag}>")
+            if rng.random() < 0.5:
+                links(rng.randint(1, 5), rng.choice(("li", "p", "div")))
+            else:
+                for _ in range(rng.randint(1, 3)):
+                    prose(0, 4, 40)
+            html.append(f"</{tag.split(' ')[0]}>")
+
+        def doubtful(name: str) -> None:
+            html.append(f'<div class="{name}">')
+            if rng.random() < 0.6:
+                links(rng.randint(1, 4), "li")
+            else:
+                prose(0, 2, 6)
+            html.append("</div>")
+
+        def body(frame: str) -> None:
+            if rng.random() < 0.8:
+                html.append(f"<h1>{_sentence(rng, rng.randint(2, 8))}</h1>")
+                labels.append(1)
+            for k in range(rng.randint(2, 6)):
+                if frame != "bare" and rng.random() < 0.15:
+                    html.append(f'<div class="{rng.choice(BOTH)}">')
+                    prose(1, 14, 60)
+                    html.append("</div>")
+                elif rng.random() < 0.15 and k:
+                    boiler(rng.choice(BOILER))
+                elif rng.random() < 0.12 and k:
+                    tag = rng.choice(("nav", "aside", "form", "footer"))
+                    html.append(f"<{tag}>")
+                    links(rng.randint(1, 4), "li") if rng.random() < 0.6 else prose(0, 4, 40)
+                    html.append(f"</{tag}>")
+                elif rng.random() < 0.06 and k:
+                    doubtful("toc")
+                else:
+                    prose(1, 2 if frame != "bare" else 9, 60)
+
+        frame = ("semantic", "named", "bare", "both")[number % 4]
+        html.append("<html><body>")
+        if frame == "bare" or rng.random() < 0.5:
+            html.append("<ul>" if frame == "bare" else "<nav>")
+            links(rng.randint(2, 6), "li")
+            html.append("</ul>" if frame == "bare" else "</nav>")
+        for _ in range(rng.randint(0, 2)):
+            boiler(rng.choice(BOILER)) if rng.random() < 0.6 else doubtful(rng.choice(DOUBTFUL))
+        opened, closed = {"semantic": ("<article>", "</article>"), "named": (f'<div class="{rng.choice(CONTENT)}">', "</div>"), "bare": ("<div>", "</div>"), "both": (f'<main class="{rng.choice(CONTENT)}"><article class="{rng.choice(BOTH)}">', "</article></main>")}[frame]
+        html.append(opened)
+        body(frame)
+        html.append(closed)
+        for _ in range(rng.randint(0, 3)):
+            boiler(rng.choice(BOILER)) if rng.random() < 0.6 else doubtful(rng.choice(DOUBTFUL))
+        if rng.random() < 0.6:
+            html.append("<footer>")
+            prose(0, 3, 30)
+            html.append("</footer>")
+        if frame == "bare":
+            html.append("<ul>")
+            links(rng.randint(2, 4), "li")
+            html.append("</ul>")
+        html.append("</body></html>")
+        pages.append(("".join(html), labels))
+    return pages

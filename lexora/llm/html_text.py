@@ -2,13 +2,16 @@
 
 A page is cut into flat text blocks. Each block gets its word count and link
 density, those of its neighbours, and where it stands (inside boilerplate or
-content elements, class and id hints). A decision tree, trained on the small
+content elements; class and id hints, of words that mostly name boilerplate
+and of words that also name content). A decision tree, trained on the small
 labelled table in ``html_labels.py``, keeps or drops it.
 
 Defined cases: a null or empty page gives an empty text; malformed, cut off
-or very long markup is read to its end; an unclosed tag counts as markup;
-repeated rows give repeated results; null ids and urls pass through; extra
-columns are ignored.
+or very long markup is read to its end; an unclosed tag counts as markup; an
+unclosed script, style or other raw text runs to the end of the page, as HTML
+has it, and an unclosed object, video or the like holds nothing; repeated rows
+give repeated results; null ids and urls pass through; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +34,24 @@ _MARKUP = re.compile(
     re.S,
 )
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "canvas", "audio", "video"}
+#: Elements whose content is text that no markup ends but their own end tag.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+#: Elements whose content is not shown as text; without an end tag they hold nothing.
+_HIDDEN = {"noscript", "template", "object", "svg", "math", "canvas", "audio", "video"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "fieldset"}
 _INSIDE = {"article", "main"}
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr p li dt dd tr td th option".split())
-_BAD = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|menu|nav\w*|breadcrumbs?|toc|comments?\w*|disqus|repl(?:y|ies)|respond|footer|foot|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|copyright|legal|skip|toolbar|rating|form)(?:[^a-z]|$)", re.I)
-_GOOD = re.compile(r"(?:^|[^a-z])(?:articles?|article-?body|entry|post|story|content|main|body|text|prose)(?:[^a-z]|$)", re.I)
-FEATURES = ("outside", "inside", "bad_hint", "good_hint", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
+#: Parts of class and id names: those that hardly name anything but boilerplate, those that may, and those of content.
+STRONG = set(
+    "ad ads advert adverts advertisement adbox adslot banner sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr popup modal overlay sidebar navbar nav navigation menu menus breadcrumb breadcrumbs comment comments commentlist disqus replies respond "
+    "footer masthead sharing sharebar related recommended recommendations newsletter subscribe signup pagination pager copyright toolbar adsense taboola outbrain".split()
+)
+WEAK = set("side form notice notices alert alerts header share social reply login search widget widgets legal skip toc rating ratings foot box popular more links list tags meta register contact".split())
+GOOD = set("article articles entry post posts story content main body text prose articlebody".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+FEATURES = ("outside", "inside", "strong_hint", "weak_hint", "good_hint", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
 @dataclass
@@ -47,7 +59,7 @@ class Block:
     text: str
     words: int
     linked: int
-    place: tuple[int, int, int, int, int]
+    place: tuple[int, int, int, int, int, int]
 
     @property
     def links(self) -> float:
@@ -56,21 +68,28 @@ class Block:
 
 @dataclass
 class _State:
-    stack: list[tuple[str, int, int, int, int]] = field(default_factory=list)
+    stack: list[tuple[str, int, int, int, int, int]] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     anchor: int = 0
     head: int = 0
 
 
+@lru_cache(maxsize=10_000)
+def hints(attributes: str) -> tuple[int, int, int]:
+    """Whether class, id, role or label names have a strong, weak, content part."""
+    parts = {p.lower() for x in _HINTS.findall(attributes) for p in _PART.findall(x)}
+    return int(bool(parts & STRONG)), int(bool(parts & WEAK)), int(bool(parts & GOOD))
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in page order, white space made single, empty ones left out."""
     out: list[Block] = []
     s = _State()
 
-    def place() -> tuple[int, int, int, int, int]:
-        _, a, b, c, d = s.stack[-1] if s.stack else ("", 0, 0, 0, 0)
-        return a, b, c, d, int(s.head > 0)
+    def place() -> tuple[int, int, int, int, int, int]:
+        _, a, b, c, w, d = s.stack[-1] if s.stack else ("", 0, 0, 0, 0, 0)
+        return a, b, c, w, d, int(s.head > 0)
 
     def flush() -> None:
         if s.parts:
@@ -85,7 +104,7 @@ def blocks(page: str) -> list[Block]:
             if s.anchor:
                 s.linked.append(text)
 
-    at = 0
+    at, never = 0, set()  # hidden elements that have no end tag from here on
     while (m := _MARKUP.search(page, at)) is not None:
         chars(page[at : m.start()])
         at = m.end()
@@ -93,11 +112,16 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in _RAW:
+        if name in _RAW or name in _HIDDEN:
             flush()
-            if not closing and not rest.rstrip().endswith("/"):
+            if not closing and not rest.rstrip().endswith("/") and name not in never:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif name in _RAW:
+                    at = len(page)
+                else:
+                    never.add(name)
         elif name == "a":
             s.anchor = 0 if closing else 1
         elif name == "br":
@@ -117,20 +141,19 @@ def blocks(page: str) -> list[Block]:
                         del s.stack[k:]
                         break
             else:
-                _, a, b, c, d = s.stack[-1] if s.stack else ("", 0, 0, 0, 0)
-                hint = " ".join(x.strip("\"'") for x in _HINTS.findall(rest)) if rest else ""
-                bad, good = int(bool(hint and _BAD.search(hint))), int(bool(hint and _GOOD.search(hint)))
+                _, a, b, c, w, d = s.stack[-1] if s.stack else ("", 0, 0, 0, 0, 0)
+                strong, weak, good = hints(rest) if rest else (0, 0, 0)
                 outside = int(name in _OUTSIDE and not (name == "header" and b))
                 if name in _INSIDE:
-                    b, a = int(not (a or bad)), a
-                s.stack.append((name, a | outside, b, c | (bad & (1 - good) if name in _INSIDE else bad), d | good))
+                    b, strong = int(not (a or strong)), strong & (1 - good)
+                s.stack.append((name, a | outside, b, c | strong, w | weak, d | good))
     chars(page[at:])
     flush()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    none = Block("", 0, 0, (0, 0, 0, 0, 0))
+    none = Block("", 0, 0, (0, 0, 0, 0, 0, 0))
     rows = []
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
@@ -156,7 +179,7 @@ class Tree:
         return out
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> Tree:
     """Gini CART; equal gains go to the earlier feature and the smaller bound, so training is repeatable."""
     node = Tree(int(2 * y.sum() >= len(y)))
     if depth == 0 or y.min() == y.max() or len(y) < 2 * least:
@@ -178,10 +201,10 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tr
 
 @lru_cache(maxsize=1)
 def default_tree() -> Tree:
-    from lexora.llm.html_labels import PAGES
+    from lexora.llm.html_labels import PAGES, composed
 
     xs, ys = [], []
-    for page, labels in PAGES:
+    for page, labels in [*PAGES, *composed(range(160))]:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {[b.text for b in found]}")
