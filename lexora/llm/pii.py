@@ -204,7 +204,6 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int]]) -> SpanModel:
         votes, n = np.array([v for v, _ in rows]), np.array([m for _, m in rows], float)
         post, right, _ = expectation_maximisation(votes, n)
         x = np.column_stack([np.ones(len(votes))] + [(votes[:, j] == side).astype(float) for j in range(votes.shape[1]) for side in (1, 0)])
-        n = n / n.sum() * min(n.sum(), 1000.0)
         w, start = np.array(START), np.array(START)
         for _ in range(50):  # ridge towards the starting weights
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -225,9 +224,17 @@ def learn(spans: DataFrame) -> SpanModel:
 
 
 def accepted(kind: str, model: SpanModel) -> Column:
-    """(start, end) of the base spans and of the loose ones that the classifier keeps, by start, without overlaps among the loose."""
+    """(start, end) of the base spans and of the loose ones that the classifier keeps, by start; of loose ones that overlap the first stays (none overlaps a base span)."""
     spans = F.filter(f"maybe_{kind}", lambda s: s["base"] | model.keeps(kind, s["votes"]))
-    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    if kind != "phone":  # candidates of one pattern don't overlap
+        return ordered
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.aggregate(ordered, first, step, lambda acc: acc["out"])
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -245,9 +252,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text", marks: str = "<{}>") -> DataFrame:
-    """docs with each accepted span of the text replaced by a mark of its kind; other columns stay as they are."""
+    """docs with each accepted span of the text replaced by a mark of its kind; other columns stay as they are, whatever their names.
+
+    Defined cases: a text without spans stays as it is, null or empty ones
+    too; where spans overlap, one mark (of the first) stands for all that they
+    cover; repeated rows give repeated results; an empty table stays empty.
+    """
     names = docs.columns
-    rows = docs.withColumn("__text", text_of(text_col))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), text_of(f"`{text_col}`").alias("__text"))
     model = learn(found(rows.select("__text")).drop("__text"))
     rows = found(rows)
     every = F.array_sort(F.concat(*[F.transform(accepted(k, model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(marks.format(k)).alias("mark"))) for k in KINDS]))
@@ -260,5 +272,5 @@ def redact(docs: DataFrame, text_col: str = "text", marks: str = "<{}>") -> Data
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate("__spans", first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("__text").substr(acc["at"] + 1, F.length("__text"))))
-    clean = F.when(F.size("__spans") > 0, whole).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, clean).select(*names)
+    clean = F.when(F.size("__spans") > 0, whole).otherwise(F.col(f"__row.`{text_col}`"))
+    return rows.select(*[(clean if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in names])
