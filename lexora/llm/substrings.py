@@ -5,21 +5,25 @@ A byte goes if a string of ``length`` bytes over it also starts earlier
 
 Why not one column-wise construction over whole documents: it takes one round
 for each byte of the longest document, and each round rewrites the transform
-of the collection; here that is over 100,000 rounds over gigabytes. So the
-construction runs where it is at its best, on many short strings:
+of the collection; here that is over 100,000 rounds over gigabytes. So anchors
+do most of the work, and the construction runs where it is at its best, on the
+many short strings that they leave open:
 
 1. Anchors. Each window of ``length`` bytes has an anchor, the k-gram with the
    least hash in it (the leftmost of equals), so equal windows have equal
    anchors; windows with one anchor position form a run of up to 69.
-2. Runs meet by anchor hash. Of runs with equal context, all but the first go
-   as a whole. Inside a task's batch this is done before anything moves, so a
+2. Runs meet by anchor hash. Of runs with equal context (two 64-bit hashes, of
+   the anchor and of the whole context with the anchor's place in it, agree;
+   bytes are not compared here), all but the first go as a whole. Inside a task's batch this is done before anything moves, so a
    passage in a third of all documents sends one run per batch.
 3. What is left: first runs of different contexts that share an anchor (edges
    of repeated passages). Their contexts, strings of up to 168 bytes, are
    gathered by anchor hash and sorted by column-wise construction: one symbol
    per string is inserted each round into the collection's transform, read and
-   written in sequence (in files where large). Neighbours that share 100 bytes
-   are equal windows; all but the first of a class go.
+   written in sequence (in files where large). Common prefixes of neighbours are
+   compared byte by byte when the order is complete, not updated each round;
+   neighbours that share 100 bytes are equal windows, and all but the first of a
+   class go.
 4. Each scan task applies the removals of its own documents.
 
 Texts never move: requests and removals are small files in the shared folder,
