@@ -12,8 +12,10 @@ Labels are read from at most ``max_train`` labelled rows, chosen by hash of
 the id; every document is scored from its whole text.
 
 Defined cases: null and empty texts score like a text without any match; null
-ids are scored and not held out; with no labels the written weights are used;
-repeated rows give repeated results; extra columns are ignored.
+ids are scored and not held out; where no labelled row of a class is found the
+written weights are used; equal ids in labels are toxic if one of them is;
+repeated rows give repeated results; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexora.llm.common import crc32_mod4, small_batches
+from lexora.llm.common import crc32_mod4, fresh, small_batches, stage, unstage
 
 SEEDS = "idiot moron stupid scum loser clown trash pathetic worthless disgusting imbecile dumb dimwit pig vermin filth bastard bitch asshole shit fuck cretin halfwit jerk degenerate subhuman retard creep parasite garbage".split()
 SEED_WEIGHT = 2.0
@@ -135,8 +138,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 DEFAULT = (-4.0, 3.0, 1.0, 0.5)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, max_words: int = 2_000, least: int = 5) -> Model:
-    """max_train bounds the labelled rows read; max_words bounds the learned lexicon; a learned word occurs in `least` toxic rows or more."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, least: int = 5) -> Model:
+    """max_train bounds the labelled rows read; a learned word occurs in `least` toxic rows or more, and far more often than in others."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(crc32_mod4("doc_id") != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))  # at most max_train rows of 12 bytes
@@ -162,22 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         bad["\x00"], good["\x00"] = n
         yield from out()
 
-    counts = rows.mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))
-    top = counts.where((F.col("word") == "\x00") | (F.col("bad") >= least)).withColumn("rank", F.when(F.col("word") == "\x00", 1e9).otherwise(odds * F.sqrt("bad")))
-    got = top.orderBy(F.desc("rank"), "word").limit(max_words + 1).collect()  # bounded by max_words
-    n_bad, n_good = next(((r["bad"], r["good"]) for r in got if r["word"] == "\x00"), (0, 0))
+    counts = stage(rows.mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
+    first = counts.where(F.col("word") == "\x00").first()
+    n_bad, n_good = (first["bad"], first["good"]) if first else (0, 0)
     weights = {w: SEED_WEIGHT for w in SEEDS}
-    for r in got:
-        if r["word"] == "\x00" or not n_bad or not n_good:
-            continue
-        gain = math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["good"] + 0.5) / (n_good + 1))
-        error = math.sqrt(1 / (r["bad"] + 0.5) + 1 / (r["good"] + 0.5))
-        if r["word"] in weights or (gain > 3 and gain / error > 4 and r["bad"] > 3 * r["good"] and len(r["word"]) >= 3):
-            weights[r["word"]] = max(0.0, gain) if r["word"] not in weights or r["bad"] + r["good"] >= 20 else max(SEED_WEIGHT / 2, gain)
+    if n_bad and n_good:
+        gain = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+        marked = (gain > 3) & (gain / error > 4) & (F.col("bad") > 3 * F.col("good")) & (F.length("word") >= 3) & (F.col("bad") >= least)
+        # words of at most max_train rows that hardly stand in others
+        got = counts.withColumn("gain", gain).where((F.col("word") != "\x00") & (F.col("word").isin(SEEDS) & (F.col("bad") >= least) | marked)).orderBy("word").collect()
+        for r in got:
+            weights[r["word"]] = max(0.0, r["gain"]) if r["word"] not in weights or r["bad"] + r["good"] >= 20 else max(SEED_WEIGHT / 2, r["gain"])
+    unstage(counts)
     weights = {w: round(v, 4) for w, v in weights.items() if v > 0}
     model = Model(weights, tuple(EXCEPTIONS), DEFAULT)
-    if min(n_bad, n_good) < 3:
+    if not min(n_bad, n_good):
         return model
 
     def feature(batches):
@@ -193,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(weights, tuple(EXCEPTIONS), tuple(float(v) for v in w))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; with keep_columns all columns of docs and `toxicity_score`."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_as: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; with keep_as all columns of docs, and the score under that name."""
     parameters, docs = model, small_batches(docs)
 
     def run(batches):
@@ -204,14 +207,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             x = np.array([row(automaton, t) for t in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(-1, 4)
             s = pa.array(parameters.score(x))
-            if keep_columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=[*batch.schema.names[:-1], "toxicity_score"])
+            if keep_as:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=[*batch.schema.names[:-1], keep_as])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), s], ["doc_id", "score"])
 
-    text = F.col(text_col).cast("string").alias("__toxicity_text")
-    if keep_columns:
-        kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-        return docs.select("*", text).mapInArrow(run, f"{kinds}, toxicity_score double")
+    text = F.col(f"`{text_col}`").cast("string").alias(fresh(docs, "text"))
+    if keep_as:
+        return docs.select("*", text).mapInArrow(run, StructType([*docs.schema.fields, StructField(keep_as, DoubleType())]))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(crc32_mod4("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
