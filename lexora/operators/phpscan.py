@@ -193,7 +193,7 @@ def scan(files: DataFrame, kinds: tuple[str, ...] = DEFAULT_KINDS, prefix: str =
 
 def fragments(scanned: DataFrame, language: str = "en", project_dir: str = "") -> DataFrame:
     """Fragments of scanned names; each keeps its kind, identifier and path."""
-    path = F.when(F.col("path").startswith(project_dir), F.ltrim(F.lit("/"), F.col("path").substr(F.lit(len(project_dir) + 1), F.length("path")))).otherwise(F.col("path")) if project_dir else F.col("path")
+    path = F.when(F.col("path").startswith(project_dir), F.ltrim(F.col("path").substr(F.lit(len(project_dir) + 1), F.length("path")), F.lit("/"))).otherwise(F.col("path")) if project_dir else F.col("path")
     mode = F.when(F.col("kind").isin("docblock", "comment"), "docblock").when(F.col("kind") == "string_literal", "prose").otherwise("identifier")
     identifier = F.when(F.col("kind").isin("docblock", "comment", "string_literal"), F.lit("")).otherwise(F.col("value"))
     return scanned.where("kind is not null").select(

@@ -54,9 +54,10 @@ def suggestions(words: DataFrame, dictionary: DataFrame, distance: int = MAX_DIS
     """
     lower = words.select(F.lower("word").alias("word")).distinct()
     entries = dictionary.select(F.lower("word").alias("candidate"), "pos").groupBy("candidate").agg(F.min("pos").alias("pos"))
-    key = lambda c: F.explode(T.deletions(F.col(c), distance)).alias("key")
+    # both share the first letter, so it is part of the key
+    key = lambda c: F.explode(F.transform(T.deletions(F.col(c), distance), lambda d: F.concat(F.substring(c, 1, 1), F.lit(":"), d))).alias("key")
     left, right = lower.select("word", key("word")), entries.select("candidate", "pos", key("candidate"))
-    pairs = left.join(right, "key").where((F.substring("word", 1, 1) == F.substring("candidate", 1, 1)) & (F.abs(F.length("word") - F.length("candidate")) <= distance))
+    pairs = left.join(right, "key").where(F.abs(F.length("word") - F.length("candidate")) <= distance)
     pairs = pairs.select("word", "candidate", "pos").distinct().withColumn("distance", T.byte_levenshtein(F.col("word"), F.col("candidate"))).where(F.col("distance") <= distance)
     order = Window.partitionBy("word").orderBy("distance", F.length("candidate"), "pos", "candidate")
     top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

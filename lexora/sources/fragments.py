@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,21 +53,30 @@ class PhpSource:
     def with_paths(self, *paths: str) -> "PhpSource":
         return replace(self, paths=paths)
 
-    def missing(self) -> list[str]:
-        return [p for p in self.paths if "://" not in p and not os.path.exists(p)]
+    def kind_of(self, spark: SparkSession, path: str) -> str:
+        """"file", "folder" or "none", by the file system that the path names."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        return "none" if not files.exists(where) else "folder" if files.getFileStatus(where).isDirectory() else "file"
+
+    def missing(self, spark: SparkSession) -> list[str]:
+        return [p for p in self.paths if self.kind_of(spark, p) == "none"]
 
     def files(self, spark: SparkSession) -> DataFrame:
+        """path, content. Excluded are files of a folder whose path in it holds a text, or matches a pattern between two signs like #^tests/#."""
         out = None
-        read = spark.read.format("binaryFile")
         for p in self.paths:
-            if p in self.missing():
+            kind = self.kind_of(spark, p)
+            if kind == "none":
                 continue
-            one = p.endswith(".php") or ("://" not in p and os.path.isfile(p))
-            df = read.load(p) if one else read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.php").load(p).where(F.col("length") < size_in_bytes(self.max_size))
-            if not one:
-                for x in self.exclude:
-                    df = df.where(~F.contains("path", F.lit(x)))
+            read = spark.read.format("binaryFile")
+            df = read.load(p) if kind == "file" else read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.php").load(p).where(F.col("length") < size_in_bytes(self.max_size))
             df = df.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+            if kind == "folder":
+                inside = F.substring_index("path", p.rstrip("/").removeprefix("file://") + "/", -1)
+                for x in self.exclude:
+                    delimited = len(x) > 2 and x[0] == x[-1] and not x[0].isalnum() and x[0] not in "\\ "
+                    df = df.where(~(inside.rlike(x[1:-1]) if delimited else F.contains(inside, F.lit(x))))
             out = df if out is None else out.unionByName(df)
         return out if out is not None else spark.createDataFrame([], "path string, content binary")
 
@@ -78,8 +86,12 @@ class PhpSource:
     def fragments(self, spark: SparkSession) -> DataFrame:
         return phpscan.fragments(self.scanned(spark), self.language, self.project_dir)
 
+    def suppressed(self, spark: SparkSession) -> int:
+        """Names on ignored lines."""
+        return self.scanned(spark).agg(F.coalesce(F.sum("suppressed"), F.lit(0))).first()[0]
+
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         bad = self.scanned(spark).where("error is not null").select(F.substring_index("error", ":", 1).alias("code"), "error", "path")
-        gone = spark.createDataFrame([("skipped_file", "no such file", p) for p in self.missing()] or [], "code string, error string, path string")
+        gone = spark.createDataFrame([("skipped_file", "no such file", p) for p in self.missing(spark)] or [], "code string, error string, path string")
         place = F.struct(F.col("path"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("logical"))
         return bad.unionByName(gone).select("code", F.col("error").alias("message"), place.alias("location"))

@@ -184,3 +184,18 @@ def test_run_counts_cache_and_suppressed_names(spark, tmp_path):
     assert [r["code"] for r in done.diagnostics.collect()] == ["parse_error"]
     counts = done.statistics.first()
     assert counts["suppressed_inline"] == 2 and counts["cache_misses"] == counts["unique_words_checked"] and counts["cache_hits"] == 0
+
+
+def test_php_source_finds_files(spark, tmp_path):
+    for name, code in {"a.php": "<?php class Alpha {}", "sub/tests/b.php": "<?php class Beta {}", "sub/c.php": "<?php class Gamma {", "d.txt": "<?php class Delta {}", "big.php": "<?php class Big {} //" + "x" * 3000, "latin.php": "<?php // caf\xe9\nclass Latin {}"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(code.encode("latin-1"))
+    source = S.PhpSource((str(tmp_path), str(tmp_path / "d.txt"), str(tmp_path / "none")), exclude=("tests/",), max_size="2K", project_dir=str(tmp_path))
+    rows = source.fragments(spark).collect()
+    assert {(r["text"], r["location"]["path"]) for r in rows if r["context"]["attributes"]["kind"] == "class_like"} == {("Alpha", "a.php"), ("Latin", "latin.php"), ("Delta", "d.txt")}
+    assert any(r["text"] == "// café" for r in rows)
+    assert sorted((r["code"], r["location"]["path"].rpartition("/")[2]) for r in source.diagnostics(spark).collect()) == [("parse_error", "c.php"), ("skipped_file", "none")]
+    assert source.suppressed(spark) == 0
+    only = S.PhpSource((str(tmp_path),), exclude=("#^sub/|big#", "latin")).with_paths(str(tmp_path / "sub"), str(tmp_path))
+    assert {r["text"] for r in only.fragments(spark).collect()} >= {"Alpha", "Beta"}
