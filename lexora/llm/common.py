@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
-import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOTS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+from lexora.staging import remove, shared_dir, shared_root, stage, unstage  # noqa: F401  used by the operators from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,51 +24,16 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        if context not in _ROOTS:
-            path = tempfile.mkdtemp(prefix="lexora-")
-            context.setCheckpointDir(f"file://{path}")
-            _ROOTS[context] = f"file://{path}"
-        root = _ROOTS[context]
-    return root.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder; removed when the driver ends."""
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_quiet_remove, spark, path)
-    return path
-
-
-def _quiet_remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may have ended
-        pass
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path  # type: ignore[attr-defined]
-    return out
-
-
 def pinned(df: DataFrame, label: str = "input") -> DataFrame:
-    """df where it only projects or filters scans of files, whose rows have the same places at every reading; anything else is staged first."""
+    """df where it only projects or filters scans of files, whose rows have the same places at every reading; anything else is staged first.
+
+    Scans are cut by the number of cores that Spark has just then, unless a
+    least number of partitions is set; it is set here, so that the cut stays
+    when executors come or go.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", df.sparkSession.sparkContext.defaultParallelism)
 
     def still(plan) -> bool:
         children = plan.children()
@@ -80,13 +42,6 @@ def pinned(df: DataFrame, label: str = "input") -> DataFrame:
     return df if still(df._jdf.queryExecution().optimizedPlan()) else stage(df, label)
 
 
-def unstage(*frames: DataFrame) -> None:
-    for df in frames:
-        path = getattr(df, "_staged", None)
-        if path:
-            remove(df.sparkSession, path)
-
-
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """df over all shuffle partitions, for rows that stand for much work: evenly, or by a hash of columns.
 
@@ -98,6 +53,14 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, F.xxhash64(*columns)) if columns else df.repartition(n)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while f"__{name}_{k}" in taken:
+        k += 1
+    return f"__{name}_{k}"
+
+
 def text_of(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

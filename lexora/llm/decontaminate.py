@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm.common import pinned, small_batches, stage
-from lexora.llm.pieces import HashIndex, PieceTable
+from lexora.llm.pieces import HashIndex, PieceTable, held
 
 _WORD = re.compile(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words that are numbers by themselves, by language; articles and "one" only count after a number.
@@ -71,7 +71,6 @@ NUMBER_FLAG, SPELLED_FLAG, NAME_FLAG, UNIT_FLAG, TITLE_FLAG, LINK_FLAG, LATER_FL
 _FLAGS = np.uint64(0xFF)
 _NUM, _NAME, _UNIT = (np.uint64(c) for c in (0x9D39247E33776D00, 0x2AF7398005AAA500, 0x44DB015024623500))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_TABLES: dict[object, PieceTable] = {}
 #: Code of a slot's literal words, apart from all others.
 _LITERAL = np.uint64(0xD1B54A32D192ED03)
 
@@ -131,11 +130,7 @@ def _learner(common: frozenset[int]):
 
 
 def table_of(key, common: frozenset[int]) -> PieceTable:
-    """The worker's table for a set of common words; it keeps the last one."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = PieceTable(_learner(common), np.uint64, b" \t\n\r")
-    return _TABLES[key]
+    return held(("templates", key), lambda: PieceTable(_learner(common), np.uint64, b" \t\n\r"))
 
 
 class Parsed:

@@ -48,6 +48,17 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return x ^ (x >> np.uint64(29))
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key, make: Callable[[], object]):
+    """make(), kept by the worker for the next task that asks for key; only one thing is kept, as workers go from stage to stage."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class _Growing:
     """An array that doubles."""
 
@@ -111,7 +122,7 @@ class HashIndex:
 class PieceTable:
     """What ``learn`` gave for each distinct piece. learn: pieces (bytes) to (all numbers, how many each piece has). most: pieces kept before the table is emptied."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 2_000_000) -> None:
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 1_000_000) -> None:
         self.learn, self.kind, self.most = learn, kind, most
         self.separates = np.zeros(256, bool)
         self.separates[list(separators)] = True
@@ -119,7 +130,7 @@ class PieceTable:
 
     def forget(self) -> None:
         self.index, self.flat, self.raw = HashIndex(), _Growing(self.kind), _Growing(np.uint8)
-        self.at, self.size, self.raw_at, self.raw_size = _Growing(np.int64), _Growing(np.int64), _Growing(np.int64), _Growing(np.int64)
+        self.at, self.size, self.raw_at, self.raw_size = _Growing(np.int64), _Growing(np.int32), _Growing(np.int64), _Growing(np.int32)
 
     def _store(self, pieces: list[bytes]) -> None:
         flat, sizes = self.learn(pieces)
@@ -184,7 +195,7 @@ class PieceTable:
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             base = starts[i]
             codes = self._codes(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
-            n = self.size.values[codes]
+            n = self.size.values[codes].astype(np.int64)
             flat.append(self.flat.values[spread(self.at.values[codes], n)]), lengths.append(n)
         total = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])[bounds]
         return np.concatenate(flat), np.diff(total)

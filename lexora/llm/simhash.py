@@ -27,16 +27,21 @@ results; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexora.llm.common import pinned, small_batches, stage, unstage
+from lexora.llm.common import fresh, pinned, small_batches, stage, unstage
 from lexora.llm.components import components
+from lexora.llm.pieces import PieceTable, held
+from lexora.llm.vocab import batched
 
 BITS = 64
+MAP_BITS = 1024
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BYTES_LOWER = bytes(_LOWER.get(c, c) for c in range(256))
 _SPACES = b"\t\n\x0b\x0c\r"
@@ -257,157 +262,254 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 
 def prefix_length(size: int, similarity: float) -> int:
     """So many first shingles, in any order that all sets share, hold one in common with each set at the similarity."""
-    import math
-
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def _hash_sets(words: int, explode: bool):
-    """(node, hashes) of texts, or a row (node, size, hash) per distinct shingle."""
+def _word_codes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(p.translate(_BYTES_LOWER), 3) for p in pieces], np.uint64), np.ones(len(pieces), np.int64)
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in ascending order; of all words if there are fewer."""
+    table, out = held("words", lambda: PieceTable(_word_codes, np.uint64, b" " + _SPACES)), []
+    for a, b in batched(texts):
+        codes, sizes = table.encode([t.encode("utf-8", "surrogatepass") for t in texts[a:b]])
+        hashes = np.zeros(len(codes), np.uint64)
+        rolling = hashes.copy()
+        for j in range(words):  # of the words from each place on
+            n = len(codes) - j
+            rolling = rolling * _ODD
+            rolling[: max(n, 0)] += codes[j:]
+        rolling = (rolling ^ (rolling >> np.uint64(32))) * _ODD
+        rolling ^= rolling >> np.uint64(29)
+        at = 0
+        for n in sizes.tolist():
+            if n >= words:
+                out.append(np.unique(rolling[at : at + n - words + 1]))
+            elif n:
+                whole = n
+                for c in codes[at : at + n].tolist():
+                    whole = (whole * 0x9E3779B97F4A7C15 + c) & 0xFFFFFFFFFFFFFFFF
+                out.append(np.array([whole ^ (whole >> 31)], np.uint64))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            at += n
+    return out
+
+
+def parity_map(hashes: np.ndarray) -> bytes:
+    """A bit for each of MAP_BITS classes of hashes: whether a set has an odd number of them. Two maps differ in no more bits than their sets in members."""
+    counts = np.bincount((hashes % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(counts.astype(np.uint8)).tobytes()
+
+
+def common_shingles(rows: DataFrame, words: int, every: int, least: int, most: int) -> np.ndarray:
+    """Hashes of shingles that stand in `least` or more of the sampled texts (one of `every`), the rarest first; at most `most`, the most frequent."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            for at in range(0, len(nodes), 100):  # long texts have 20,000 rows each
-                sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(1).slice(at, 100).to_pylist()]
-                own = nodes[at : at + 100]
-                if explode:
-                    sizes = np.array([len(h) for h in sets], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "size", "hash"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
+            sets = shingle_sets([t or "" for t in batch.column(0).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["hash"])
 
-    return run
+    sample = rows.where(F.pmod(F.xxhash64("__row", F.lit(17)), F.lit(every)) == 0).select("text")
+    counts = sample.mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "hash").limit(most).toArrow()["hash"].to_numpy()  # 8 bytes each
+    return found[::-1].astype(np.int64).view(np.uint64)
 
 
-def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_every: int = 20, max_common: int = 500_000, max_broadcast: int = 500_000) -> DataFrame:
     """__row (the place in docs), doc_id, keeper (the __row of the document of its class that stays).
 
     A class holds documents linked by a Jaccard similarity of `similarity` or
     more of their sets of `words`-word shingles. The search is exact: it uses
     no SimHash, whose bits differ in a sixth at that similarity, but prefixes
-    of the sets. Equal sets are one node. First the shingles are ordered by
-    their hash, and texts that share no prefix shingle with another have no
-    partner. Of the rest all shingles are counted and ordered by rarity, and
-    texts that share a shingle of these prefixes meet in its bucket. Pairs
-    that lengths or places of the shared shingle rule out go, and the others
-    are verified on whole sets.
+    of the sets in an order that all of them share. Any order gives the same
+    links; so that few texts meet, shingles that a sample of the texts shows
+    to be common come last. Equal sets are one node, and of prefix shingles
+    only those that two nodes have are kept.
 
     Only the classes are wanted, so pairs within one are not: each text of a
-    bucket is verified first against the bucket's smallest and largest node,
-    and the components of these links are formed. Then every pair of a bucket
-    whose texts are in different components is verified, however large the
-    bucket. The texts outside of the bucket's largest component meet all
-    others; a bucket of copies within one component makes no pair.
+    bucket is verified against the bucket's leader, the text with the most
+    shingles from there on, and the components of these links are formed; then
+    once more with leaders of what is outside of the bucket's largest
+    component. At last every pair of a bucket whose texts are in different
+    components is verified, however large the bucket, unless lengths or places
+    of the shared shingle rule it out. Candidates are compared by parity maps
+    first, which bound the difference of two sets from below, and those that
+    pass by their whole sets.
+
+    Defined cases: a null text is empty; texts without words are copies of
+    each other; null ids pass through and are kept last; of equal ids the
+    earlier row is kept; repeated rows are copies; an empty table gives an
+    empty result; extra columns are ignored, whatever their names.
     """
-    docs = pinned(docs)
+    docs, context = pinned(docs), docs.sparkSession.sparkContext
     rows = small_batches(docs).select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    common = context.broadcast(common_shingles(rows, words, sample_every, 3, max_common))
 
     def prints(batches):
         import hashlib
 
         import pyarrow as pa
 
+        late = common.value
+        order = np.argsort(late)
+        ordered = late[order]
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
-            for text in batch.column(2).to_pylist():
-                h = np.unique(shingle_hashes(text or "", words))
+            digests, sizes, maps, prefixes = [], [], [], []
+            for h in shingle_sets([t or "" for t in batch.column(2).to_pylist()], words):
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
+                maps.append(parity_map(h))
+                if len(h) and len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                    rank = np.where(ordered[at] == h, order[at] + 1, 0)
+                    h = h[np.argsort(rank, kind="stable")]
                 prefixes.append(h[: prefix_length(len(h), similarity)].tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["__row", "doc_id", "digest", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.binary())], ["__row", "doc_id", "digest", "size", "map", "prefix"])
 
-    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size long, prefix binary"), "prints")
+    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size int, map binary, prefix binary"), "prints")
     # the prefix stays out of the aggregate: equal sets are one node, which has its prefix in its own row
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
     texts = stage(every.groupBy("digest").agg(first).select("digest", F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id")), "texts")
 
+    def small(df: DataFrame) -> DataFrame:
+        """A staged column of longs, broadcast where it is small enough (8 bytes a row)."""
+        return F.broadcast(df) if df.count() <= max_broadcast else df
+
     def file(batches):
         import pyarrow as pa
 
         for batch in batches:
-            nodes, prefixes = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            sizes = [len(x) // 8 for x in prefixes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), pa.array(np.repeat(nodes, sizes))], ["hash", "node"])
-
-    nodes = every.select(F.col("__row").alias("node"), "prefix").join(texts.select("node"), "node", "left_semi")
-    filed = nodes.mapInArrow(file, "hash long, node long")
-    met = filed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    alive = stage(filed.join(met, "hash", "left_semi").select("node").distinct(), "alive")
-    live = rows.select(F.col("__row").alias("node"), "text").join(alive, "node", "left_semi")
-
-    shingles = stage(live.mapInArrow(_hash_sets(words, True), "node long, size long, hash long"), "shingles")
-    often = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = shingles.join(often, "hash").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("held"))  # at most the shingles of a text
-    # shingles of one text only come first in the order, and meet nothing
-    alone = F.col("size") - F.size("held")
-    length = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
-    prefix = held.withColumn("alone", alone).withColumn("length", length - alone).where("length > 0")
-    prefix = prefix.select("node", "size", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("length").cast("int"))).alias("at", "x"))
-    prefix = stage(prefix.select(F.col("x.hash").alias("key"), "node", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "prefixes")
-    unstage(shingles)
-    bound = prefix.groupBy("key").agg(F.min(F.struct("node", "size", "rest")).alias("low"), F.max(F.struct("node", "size", "rest")).alias("high")).where("low.node <> high.node")
+            nodes, sizes, prefixes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            n = np.array([len(x) // 8 for x in prefixes], np.int64)
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            size = np.repeat(sizes, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), pa.array(np.repeat(nodes, n)), pa.array(size), pa.array((size - at).astype(np.int32))], ["key", "node", "size", "rest"])
+
+    lone = small(texts.select("node"))
+    nodes = every.select(F.col("__row").alias("node"), "size", "prefix").join(lone, "node", "left_semi")
+    filed = nodes.mapInArrow(file, "key long, node long, size int, rest int")
+    met = stage(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "met")
+    prefix = stage(filed.join(met, "key", "left_semi"), "prefixes")
+    unstage(met)
 
     def near(size, rest, r_size, r_rest):
         """False only where no similar pair can have its first shared shingle here: `rest` counts a text's shingles from it on."""
         a, b = F.col(size), F.col(r_size)
         return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9) & (F.least(F.col(rest), F.col(r_rest)) >= similarity / (1 + similarity) * (a + b) - 1e-9)
 
-    ends = prefix.join(bound, "key").select("node", "size", "rest", F.explode(F.array("low", "high")).alias("o"))
-    ends = ends.where((F.col("node") != F.col("o.node")) & near("size", "rest", "o.size", "o.rest")).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-    sets = stage(live.mapInArrow(_hash_sets(words, False), "node long, hashes binary"), "sets")
-    candidates = stage(ends.distinct(), "candidates")
-    links = _verified(sets, candidates, similarity)
-    parts = stage(components(links), "parts")
-
-    # what is left: pairs in different components
-    weight = parts.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    parted = parts.join(weight, "component")
-    named = prefix.join(parted, "node", "left").select("key", "node", "size", "rest", F.coalesce("component", "node").alias("part"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    most = named.groupBy("key").agg(F.max(F.struct("weight", "part"))["part"].alias("most"), F.min("part").alias("least"), F.max("part").alias("last")).where("least <> last").select("key", "most")
-    mixed = stage(named.join(most, "key"), "mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "rest", "part")])
+    def led(members: DataFrame) -> DataFrame:
+        """Candidates (a, b): every member of a key with its leader."""
+        leader = members.groupBy("key").agg(F.max(F.struct("rest", "size", "node")).alias("o"))
+        pairs = members.join(leader, "key").where((F.col("node") != F.col("o.node")) & near("size", "rest", "o.size", "o.rest"))
+        return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+    maps = every.select(F.col("__row").alias("node"), "size", "map")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        """Of staged candidates (a, b) those that are similar."""
+        likely = stage(_judged(maps, candidates, _maps_allow(similarity), "map"), "likely")
+        wanted = stage(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "wanted")
+        live = rows.select(F.col("__row").alias("node"), "text").join(small(wanted), "node", "left_semi")
+        sets = stage(live.mapInArrow(_sets(words), "node long, size int, hashes binary"), "sets")
+        out = stage(_judged(sets, likely, _sets_allow(similarity), "hashes"), "verified")
+        unstage(likely, wanted, sets)
+        return out
+
+    def parted(links: DataFrame) -> DataFrame:
+        """The prefix rows with the component of their node (itself where it has none) and the component's nodes."""
+        parts = stage(components(links), "parts")
+        weight = parts.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+        own = parts.join(weight, "component")
+        named = prefix.join(own, "node", "left").select("key", "node", "size", "rest", F.coalesce("component", "node").alias("part"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        most = named.groupBy("key").agg(F.max(F.struct("weight", "part"))["part"].alias("most"), F.min("part").alias("least"), F.max("part").alias("last")).where("least <> last").select("key", "most")
+        out = stage(named.join(most, "key"), "mixed")
+        unstage(parts)
+        return out
+
+    seen = stage(led(prefix), "candidates")
+    links = one = verified(seen)
+    mixed = parted(links)
+    more = stage(led(mixed.where("part <> most")).join(seen, ["a", "b"], "left_anti"), "candidates")
+    two = verified(more)
+    links, found = links.unionByName(two), seen.unionByName(more)
+    unstage(mixed)
+    mixed = parted(links)
     outside = mixed.where("part <> most")
-    # two texts that are both outside meet twice, and count once
-    cross = outside.join(other, "key").where((F.col("part") != F.col("r_part")) & near("size", "rest", "r_size", "r_rest"))
-    more = cross.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
-    more = stage(more.join(candidates, ["a", "b"], "left_anti"), "candidates")
-    unstage(mixed, prefix)
-    links = links.unionByName(_verified(sets, more, similarity))
-    parts = components(links)
-    unstage(candidates, more, sets, alive)
-    classes = texts.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    # a text outside of the largest component meets all that are in others; where both are outside, from one side
+    other = mixed.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "rest", "part", "most")])
+    cross = outside.join(other, "key").where((F.col("part") != F.col("r_part")) & ((F.col("r_part") == F.col("r_most")) | (F.col("node") < F.col("r_node"))) & near("size", "rest", "r_size", "r_rest"))
+    cross = cross.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
+    last = stage(cross.join(found, ["a", "b"], "left_anti"), "candidates")
+    three = verified(last)
+    parts = components(links.unionByName(three))
+    unstage(one, two, three, seen, more, last, mixed, prefix)
+    classes = texts.join(parts, texts["node"] == parts["node"], "left").select("digest", texts["node"], "doc_id", F.coalesce("component", texts["node"]).alias("class"))
     keep = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("keep"))
-    found = stage(classes.join(keep, "class").select("digest", F.col("keep.node").alias("keeper")), "classes")
-    unstage(texts)
-    return every.select("__row", "doc_id", "digest").join(found, "digest").drop("digest")
+    result = stage(classes.join(keep, "class").select("digest", F.col("keep.node").alias("keeper")), "classes")
+    out = stage(every.select("__row", "doc_id", "digest").join(result, "digest").drop("digest"), "copy-classes")
+    unstage(every, texts, result)
+    return out
+
+
+def _sets(words: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "size", "hashes"])
+
+    return run
 
 
-def _verified(sets: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs (a, b) whose shingle sets are similar enough."""
+def _maps_allow(similarity: float):
+    def allow(m, x, n, y) -> np.ndarray:
+        p, q = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (x, y))
+        apart = np.bitwise_count(p ^ q).sum(1, dtype=np.int64) if len(p) else np.zeros(0, np.int64)
+        return apart <= (1 - similarity) / (1 + similarity) * (m.to_numpy() + n.to_numpy()) + 1e-9
 
-    def judge(batches):
+    return allow
+
+
+def _sets_allow(similarity: float):
+    def allow(m, x, n, y) -> np.ndarray:
+        keep = []
+        for u, v in zip(x, y):
+            p, q = np.frombuffer(u.as_buffer(), "<u8"), np.frombuffer(v.as_buffer(), "<u8")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+        return np.array(keep, bool)
+
+    return allow
+
+
+def _judged(facts: DataFrame, candidates: DataFrame, allow, column: str) -> DataFrame:
+    """The candidates (a, b) that allow(size, fact, size, fact) lets through."""
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array(allow(*(batch.column(k) for k in range(2, 6))), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
-    met = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return stage(met.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "verified")
+    one, two = (facts.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col(column).alias(f"fact_{k}")) for k in ("a", "b"))
+    return candidates.join(one, "a").join(two, "b").select("a", "b", "size_a", "fact_a", "size_b", "fact_b").mapInArrow(run, "a long, b long")
 
 
 def drop_copies(docs: DataFrame, max_broadcast: int = 1_000_000, **options) -> DataFrame:
-    """docs with one document of each class (the smallest id, then the earliest), all columns kept."""
+    """docs with one document of each class (the smallest id, then the earliest), all columns kept under any names."""
     docs = pinned(docs)
-    gone = stage(copy_classes(docs, **options).where("__row <> keeper").select("__row"), "copies")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    place = fresh(docs, "row")
+    classes = copy_classes(docs, **options)
+    gone = stage(classes.where("__row <> keeper").select(F.col("__row").alias(place)), "copies")
+    unstage(classes)
+    marked = docs.withColumn(place, F.monotonically_increasing_id())
     few = gone.count() <= max_broadcast  # 8 bytes each
-    return marked.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
+    return marked.join(F.broadcast(gone) if few else gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

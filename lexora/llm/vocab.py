@@ -19,11 +19,10 @@ import unicodedata
 import numpy as np
 
 from lexora.llm.common import spread
-from lexora.llm.pieces import HashIndex, PieceTable
+from lexora.llm.pieces import HashIndex, PieceTable, held
 
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ENCODERS: dict[str, "Encoder"] = {}
 _NEVER = 1 << 30
 _START = "\x00"
 _NEVER_IN = (_START, *"\x0b\x0c\x1c\x1d\x1e\x1f\x85")
@@ -136,7 +135,7 @@ class Merges:
 class Encoder:
     """max_pieces bounds the table of a worker: it is emptied when full."""
 
-    def __init__(self, path: str, max_pieces: int = 2_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -255,9 +254,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def batched(texts: list[str], most: int = 4_000_000):
