@@ -160,6 +160,18 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, BASELINE)
 
 
+def config_hash(path: str) -> str:
+    """That of a baseline file; empty where there is none."""
+    if not os.path.exists(path):
+        return ""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f).get("config_hash", "")
+
+
+def empty_baseline(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], BASELINE)
+
+
 # --- statistics -------------------------------------------------------------
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from itertools import groupby
+from textwrap import indent
+from typing import IO, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,53 +109,131 @@ def table(findings: DataFrame) -> DataFrame:
     return ordered(findings).select(group.alias("group"), _file("(unknown location)").alias("file"), line.alias("value"))
 
 
-def _grouped(rows: Iterable, keys: tuple[str, ...]) -> Iterable[tuple[tuple, object]]:
-    """Rows with their key, keys in the order of their first row; a report is read by people, so it fits the driver."""
-    held: dict[tuple, list] = {}
-    for r in rows:
-        held.setdefault(tuple(r[k] for k in keys), []).append(r)
-    for key, some in held.items():
-        yield key, some
+class Writer(Protocol):
+    """Where a report goes, piece by piece; decorated: whether it shows colours."""
 
+    decorated: bool
 
-def render(name: str, findings: DataFrame, statistics: dict | None = None, diagnostics: list[dict] | None = None, outdated: list[str] | None = None, seconds: float = 0.0) -> str:
-    """A whole report as text."""
+    def write(self, text: str) -> None: ...
+
+
+@dataclass
+class BufferedWriter:
+    """Keeps what is written, for tests and callers that want a text."""
+
+    decorated: bool = False
+    parts: list[str] = field(default_factory=list)
+
+    def write(self, text: str) -> None:
+        self.parts.append(text)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    def reset(self) -> None:
+        self.parts.clear()
+
+
+@dataclass
+class StreamWriter:
+    """Writes to an open file."""
+
+    stream: IO[str]
+    decorated: bool = False
+
+    def write(self, text: str) -> None:
+        self.stream.write(text)
+
+
+def _by_file(rows: DataFrame) -> Iterable[tuple[str, Iterable]]:
+    """Rows file by file, in order; a file's rows follow each other, as findings are ordered by path."""
+    return groupby(rows.toLocalIterator(), lambda r: r["file"])
+
+
+def _colour(writer: Writer, code: int, text: str) -> str:
+    return f"\x1b[{code}m{text}\x1b[0m" if writer.decorated else text
+
+
+def write_report(writer: Writer, name: str, findings: DataFrame, statistics: dict | None = None, diagnostics: list[dict] | None = None, outdated: list[str] | None = None, seconds: float = 0.0) -> None:
+    """A whole report, a row at a time. Findings without a path come last, and make an entry of a file for each run of equal names."""
     statistics, diagnostics, outdated = statistics or {}, diagnostics or [], outdated or []
     if name not in REPORTERS:
         raise ValueError(f"unknown report {name!r}; there are {', '.join(sorted(REPORTERS))}")
-    rows = REPORTERS[name](findings).toLocalIterator()
-    out: list[str] = []
-    if name == "github":
-        out = [r["value"] for r in rows] + [f"::warning title=Spelling::{d['message']}" for d in diagnostics]
-    elif name == "csv":
-        out = [",".join(f'"{h}"' for h in CSV_HEADER), *[r["value"] for r in rows]]
-    elif name == "gitlab":
-        return json.dumps([json.loads(r["value"]) for r in rows], ensure_ascii=False, indent=4) + "\n"
-    elif name == "json":
-        issues = [json.loads(r["value"]) for r in rows]
-        whole = {"summary": {"new": len(issues), **statistics}, "issues": issues, "diagnostics": diagnostics, "outdated_baseline_entries": outdated}
-        return json.dumps(whole, ensure_ascii=False, indent=4) + "\n"
+    rows = REPORTERS[name](findings)
+    line = lambda text="": writer.write(f"{text}\n")
+    if name in ("github", "csv"):
+        if name == "csv":
+            line(",".join(f'"{h}"' for h in CSV_HEADER))
+        for r in rows.toLocalIterator():
+            line(r["value"])
+        for d in diagnostics if name == "github" else ():
+            line(f"::warning title=Spelling::{d['message']}")
+    elif name in ("gitlab", "json"):
+        depth = 4 if name == "gitlab" else 8
+        if name == "json":
+            head = {"summary": {"new": rows.count(), **statistics}}
+            writer.write(json.dumps(head, ensure_ascii=False, indent=4)[:-2] + ',\n    "issues": ')
+        mark = "["
+        for r in rows.toLocalIterator():
+            writer.write(f"{mark}\n" + indent(json.dumps(json.loads(r["value"]), ensure_ascii=False, indent=4), " " * depth))
+            mark = ","
+        writer.write("[]" if mark == "[" else "\n" + " " * (depth - 4) + "]")
+        if name == "json":
+            tail = {"diagnostics": diagnostics, "outdated_baseline_entries": outdated}
+            writer.write(",\n" + json.dumps(tail, ensure_ascii=False, indent=4)[2:])
+        line()
     elif name == "checkstyle":
-        out = ['<?xml version="1.0" encoding="UTF-8"?>', '<checkstyle version="1.0">']
-        for (file,), some in _grouped(rows, ("file",)):
-            out += [f'  <file name="{html.escape(file)}">', *[f"    {r['value']}" for r in some], "  </file>"]
-        out.append("</checkstyle>")
+        line('<?xml version="1.0" encoding="UTF-8"?>')
+        line('<checkstyle version="1.0">')
+        for file, some in _by_file(rows):
+            line(f'  <file name="{html.escape(file)}">')
+            for r in some:
+                line(f"    {r['value']}")
+            line("  </file>")
+        line("</checkstyle>")
     elif name == "junit":
-        cases = [r["value"] for r in rows]
-        body = cases or ['<testcase name="spelling" classname="spelling"/>']
-        out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="spelling" tests="{max(1, len(cases))}" failures="{len(cases)}" time="{seconds:.3f}">', '  <testsuite name="spelling">', *[f"    {c}" for c in body], "  </testsuite>", "</testsuites>"]
+        n = rows.count()
+        line('<?xml version="1.0" encoding="UTF-8"?>')
+        line(f'<testsuites name="spelling" tests="{max(1, n)}" failures="{n}" time="{seconds:.3f}">')
+        line('  <testsuite name="spelling">')
+        for r in rows.toLocalIterator():
+            line(f"    {r['value']}")
+        if not n:
+            line('    <testcase name="spelling" classname="spelling"/>')
+        line("  </testsuite>")
+        line("</testsuites>")
     else:
-        n = 0
-        for (group,), files in _grouped(rows, ("group",)):
-            out += ["", group, "-" * 76]
-            for (file,), some in _grouped(files, ("file",)):
-                out += ["", f"  {file}", *[r["value"] for r in some]]
-                n += len(some)
-        out += ["", "-" * 76, "  No new findings." if not n else f"  {n} new finding{'s' if n > 1 else ''}."]
-        out += [f"  ! {d['message']}" for d in diagnostics]
+        n, first = 0, rows.first()
+        groups = ("Translations", "Code") if first and first["group"] == "Translations" else ("Code", "Translations")
+        for group in groups if first else ():
+            head = ["", _colour(writer, 1, group), "-" * 76]
+            for file, some in _by_file(rows.where(F.col("group") == group)):
+                for text in [*head, "", _colour(writer, 36, f"  {file}")]:
+                    line(text)
+                head = []
+                for r in some:
+                    line(r["value"])
+                    n += 1
+        line()
+        line("-" * 76)
+        line("  No new findings." if not n else _colour(writer, 31, f"  {n} new finding{'s' if n > 1 else ''}."))
+        for d in diagnostics:
+            line(f"  ! {d['message']}")
         if outdated:
-            out.append(f"  ! {len(outdated)} baseline entries were not found again; prune them.")
-    return "\n".join(out) + "\n"
+            line(f"  ! {len(outdated)} baseline entries were not found again; prune them.")
+
+
+def render(name: str, findings: DataFrame, **more) -> str:
+    """A whole report as text."""
+    writer = BufferedWriter()
+    write_report(writer, name, findings, **more)
+    return writer.text
+
+
+def save_lines(name: str, findings: DataFrame, path: str) -> None:
+    """The lines of a report as text files in order, written by the executors; for reports too large for one file."""
+    REPORTERS[name](findings).select("value").write.text(path)
 
 
 REPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"table": table, "json": json_rows, "github": github, "checkstyle": checkstyle, "junit": junit, "gitlab": gitlab, "csv": csv}

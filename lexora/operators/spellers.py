@@ -85,24 +85,25 @@ def formatted(word: Column, found: Column, parent: Column, most: int = MAX_SUGGE
 
 @dataclass
 class WordListSpeller:
-    """dictionary(word, language, pos); suggestions come from all its languages."""
+    """dictionary(word, language, pos); suggestions come from all its languages. It takes any language, unless it is only for some."""
 
     dictionary: DataFrame
     max_suggestions: int = MAX_SUGGESTIONS
     max_distance: int = MAX_DISTANCE
+    only: tuple[str, ...] = ()
     name: str = "wordlist"
 
     def is_available(self) -> bool:
         return True
 
     def languages(self) -> list[str]:
-        return sorted(r[0] for r in self.dictionary.select("language").where("language is not null").distinct().collect())
+        return list(self.only)
 
     def supports(self, language: str) -> bool:
-        return self.dictionary.where(F.col("language").isNull()).limit(1).count() > 0 or any(x == language or x.startswith(language + "_") or language.startswith(x + "_") for x in self.languages())
+        return not self.only or language in self.only
 
     def describe(self) -> str:
-        return f"{self.name}: {self.dictionary.count()} words"
+        return f"{self.dictionary.count()} words"
 
     def check(self, words: DataFrame, with_suggestions: bool = True) -> DataFrame:
         """Unknown rows of words(language, word, ...) with suggestions."""
@@ -211,7 +212,7 @@ class ChainSpeller:
 
     spellers: list
     diagnostics: list[tuple[str, str]] = None  # type: ignore[assignment]
-    name: str = "chain"
+    name: str = "auto"
 
     def choose(self, language: str):
         ready = [s for s in self.spellers if s.is_available()]
@@ -233,7 +234,7 @@ class ChainSpeller:
         return any(s.is_available() and s.supports(language) for s in self.spellers)
 
     def describe(self) -> str:
-        return " -> ".join(s.describe() for s in self.spellers if s.is_available())
+        return ", ".join(f"{s.name}: {'available' if s.is_available() else 'unavailable'}" for s in self.spellers)
 
     def check(self, words: DataFrame, with_suggestions: bool = True) -> DataFrame:
         spoken = sorted(r[0] for r in words.select("language").where("language is not null").distinct().collect())

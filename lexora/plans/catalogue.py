@@ -436,7 +436,7 @@ def filter_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 def chain_speller(spark: SparkSession, sf: str) -> DataFrame:
     """English is known to the first speller, with the corpus' own words; other languages fall to the second."""
     english = D.clean(corpus_dictionary(spark, sf, bench=False).where("language = 'en'"))
-    speller = spellers.ChainSpeller([spellers.WordListSpeller(english, name="english"), spellers.WordListSpeller(corpus_dictionary(spark, sf))])
+    speller = spellers.ChainSpeller([spellers.WordListSpeller(english, only=("en",)), spellers.WordListSpeller(corpus_dictionary(spark, sf))])
     words = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
     return speller.check(words, with_suggestions=False).select("language", "word")
 

@@ -1,9 +1,11 @@
 """Grammars and backends against written cases and plain Python."""
 
+import json
 import os
 import stat
 import sys
 import textwrap
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from lexora.errors import IcuSyntaxError, SpellerProcessError
 from lexora.functions import patterns as P
 from lexora.operators import dictionary as D
-from lexora.operators import docblock, icu, locators, phpscan, spellers
+from lexora.operators import docblock, icu, locators, phpscan, report, spellers
 from lexora.operators import processors as PR
 from lexora.plans.runner import Runner
 from lexora.sources import fragments as S
@@ -157,7 +159,7 @@ def test_backend_listings_and_commands(tmp_path):
 
 def test_cache_counts_and_time_to_live(spark, tmp_path):
     words = spark.createDataFrame([("en", "order"), ("en", "ordre"), ("en", "Ordre")], "language string, word string")
-    inner = spellers.WordListSpeller(D.from_words(spark, ["order"], "en"))
+    inner = spellers.WordListSpeller(D.from_words(spark, ["order"], "en"), only=("en",))
     cached = spellers.CachingSpeller(inner, str(tmp_path / "cache"))
     for _ in range(2):
         assert sorted((r["word"], r["suggestions"]) for r in cached.check(words).collect()) == [("Ordre", ["order"]), ("ordre", ["order"])]
@@ -171,7 +173,8 @@ def test_cache_counts_and_time_to_live(spark, tmp_path):
     assert aged.check(words).count() == 2
     assert (aged.hits, aged.misses) == (0, 2)
     chain = spellers.ChainSpeller([cached])
-    assert chain.check(words).count() == 2 and "cached" in chain.describe()
+    assert chain.check(words).count() == 2 and chain.describe() == "wordlist: available"
+    assert spellers.WordListSpeller(inner.dictionary).supports("xx") and not inner.supports("xx")
 
 
 def test_run_counts_cache_and_suppressed_names(spark, tmp_path):
@@ -199,3 +202,35 @@ def test_php_source_finds_files(spark, tmp_path):
     assert source.suppressed(spark) == 0
     only = S.PhpSource((str(tmp_path),), exclude=("#^sub/|big#", "latin")).with_paths(str(tmp_path / "sub"), str(tmp_path))
     assert {r["text"] for r in only.fragments(spark).collect()} >= {"Alpha", "Beta"}
+
+
+def test_reports_through_writers(spark, tmp_path):
+    def row(word, source, path, line, suggestions=()):
+        return (word, "spelling", list(suggestions), "en", (source, {"kind": "class", "identifier": word + "Name"} if source == "php" else {"locale": "en", "domain": "d", "key": "k"}), (path, line, None, f"en/d/{word}"), 'a "q" & <b>', "error", "f" * 16, "seed", "1", 0)
+
+    schema = "word string, type string, suggestions array<string>, language string, context struct<source:string,attributes:map<string,string>>, location struct<path:string,line:int,column:int,logical:string>, excerpt string, severity string, fingerprint string, seed string, fragment_id string, word_idx int"
+    rows = spark.createDataFrame([row("Ordr", "php", "src/A.php", 3, ["Order"]), row("messagi", "translation", "lang/m.yaml", 9, ["messaggi", "messaggio"]), row("Srvice", "php", "src/A.php", 1)], schema)
+    texts = {name: report.render(name, rows, diagnostics=[{"message": "odd"}], outdated=["x"]) for name in report.REPORTERS}
+    whole = json.loads(texts["json"])
+    assert whole["summary"] == {"new": 3} and [i["word"] for i in whole["issues"]] == ["messagi", "Srvice", "Ordr"] and whole["diagnostics"] == [{"message": "odd"}] and whole["outdated_baseline_entries"] == ["x"]
+    assert [i["location"]["lines"]["begin"] for i in json.loads(texts["gitlab"])] == [9, 1, 3]
+    for name in ("checkstyle", "junit"):
+        root = ElementTree.fromstring(texts[name].encode())
+        assert len(list(root.iter("error" if name == "checkstyle" else "failure"))) == 3
+    assert [f.get("name") for f in ElementTree.fromstring(texts["checkstyle"].encode())] == ["lang/m.yaml", "src/A.php"]
+    assert texts["github"].splitlines()[0] == '::error file=lang/m.yaml,line=9,title=Spelling::Unknown word "messagi" - did you mean messaggi, messaggio? [en/d]'
+    assert texts["csv"].splitlines()[1] == '"en","d","k","a ""q"" & <b>","messagi","messaggi, messaggio","lang/m.yaml","9"'
+    lines = texts["table"].splitlines()
+    assert lines.index("Translations") < lines.index("Code") and lines.count("  src/A.php") == 1 and "  3 new findings." in lines and "  ! 1 baseline entries were not found again; prune them." in lines
+    none = rows.limit(0)
+    assert json.loads(report.render("json", none))["issues"] == [] and json.loads(report.render("gitlab", none)) == [] and "No new findings" in report.render("table", none) and 'tests="1"' in report.render("junit", none)
+    writer = report.BufferedWriter(decorated=True)
+    report.write_report(writer, "table", rows)
+    assert "\x1b[1mCode\x1b[0m" in writer.text
+    with open(tmp_path / "r.csv", "w") as f:
+        report.write_report(report.StreamWriter(f), "csv", rows)
+    assert open(tmp_path / "r.csv").read() == texts["csv"]
+    report.save_lines("csv", rows, str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 3
+    with pytest.raises(ValueError, match="unknown report"):
+        report.render("no", rows)
