@@ -256,7 +256,7 @@ def _windows(window: int, common, items: bool, hashes=None, sizes: tuple[int, ..
     return run
 
 
-def _slices(texts: list[str | None], most: int = 4_000_000):
+def _slices(texts: list[str | None], most: int = 1_000_000):
     """Bounds of runs of about `most` characters."""
     at, held = 0, 0
     for k, t in enumerate(texts):

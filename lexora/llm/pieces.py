@@ -8,6 +8,7 @@ were learned, and what differs is learned on its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -55,10 +56,19 @@ def held(key, make: Callable[[], object]):
     """make(), kept by the worker for the next task that asks for key; only one thing is kept, as workers go from stage to stage."""
     if key not in _HELD:
         _HELD.clear()
+        _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class _Growing:
     """An array that doubles."""
 
@@ -122,7 +132,7 @@ class HashIndex:
 class PieceTable:
     """What ``learn`` gave for each distinct piece. learn: pieces (bytes) to (all numbers, how many each piece has). most: pieces kept before the table is emptied."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 1_000_000) -> None:
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 500_000) -> None:
         self.learn, self.kind, self.most = learn, kind, most
         self.separates = np.zeros(256, bool)
         self.separates[list(separators)] = True
