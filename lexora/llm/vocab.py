@@ -135,7 +135,7 @@ class Merges:
 class Encoder:
     """max_pieces bounds the table of a worker: it is emptied when full."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
