@@ -18,7 +18,11 @@ many short strings that they leave open:
    passage in a third of all documents sends one run per batch.
 3. What is left: first runs of different contexts that share an anchor (edges
    of repeated passages). Their contexts, strings of up to 168 bytes, are
-   gathered by anchor hash and sorted by column-wise construction: one symbol
+   gathered by anchor hash. Most share little more than the anchor, and the more
+   text there is the more of them meet; so parts of a context that no other can
+   share, and parts that an earlier one has byte by byte, are settled first
+   (`open_parts`), which also bounds the groups of common anchors. The rest is
+   sorted by column-wise construction: one symbol
    per string is inserted each round into the collection's transform, read and
    written in sequence (in files where large). Common prefixes of neighbours are
    compared byte by byte when the order is complete, not updated each round;
@@ -262,7 +266,7 @@ def _with_side(batches, folder: str):
             row, at = row + 1, end
 
 
-_CONTEXTS = "key long, h long, doc long, row long, s long, n int, text binary"
+_CONTEXTS = "key long, h long, doc long, row long, s long, n int, p int, text binary"
 
 
 def _gather(folder: str, length: int, buckets: int):
@@ -275,12 +279,12 @@ def _gather(folder: str, length: int, buckets: int):
 
         def flush():
             columns = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 5 + (pa.int32(), pa.binary()))], ["key", "h", "doc", "row", "s", "n", "text"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.binary(),))], ["key", "h", "doc", "row", "s", "n", "p", "text"])
 
         for row, doc, raw, spans in _with_side(batches, folder):
             for x in spans:
                 s, n, h = int(x["s"]), int(x["n"]), int(x["h"])
-                out.append((h % buckets, h - (1 << 64) if h >> 63 else h, _NONE if doc is None else doc, row, s, n, raw[s : s + n + length - 1]))
+                out.append((h % buckets, h - (1 << 64) if h >> 63 else h, _NONE if doc is None else doc, row, s, n, int(x["p"]), raw[s : s + n + length - 1]))
             if len(out) > 20_000:
                 yield flush()
                 out = []
@@ -370,35 +374,142 @@ def repeated_windows(strings: list[bytes], counts: list[int], rank: np.ndarray,
     return out
 
 
+def _bytes_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return flat[spread(start, size)]
+
+
+def _slice_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of slices of a long array, in bounded pieces; a slice is short."""
+    out, order, a = np.zeros(len(start), np.uint64), np.argsort(start, kind="stable"), 0
+    places = start[order]
+    while a < len(order):
+        low = int(places[a])
+        b = int(np.searchsorted(places, low + (BLOCK >> 3)))
+        own = order[a:b]
+        out[own] = Hashes(flat[low : int(end[own].max())]).of(start[own] - low, end[own] - low)
+        a = b
+    return out
+
+
+def _equal_slices(flat: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the slices of `size` bytes at one and two are equal, compared byte by byte in bounded pieces."""
+    out = np.zeros(len(one), bool)
+    for a in range(0, len(one), 20_000):
+        n = size[a : a + 20_000]
+        differ = _bytes_of(flat, one[a : a + 20_000], n) != _bytes_of(flat, two[a : a + 20_000], n)
+        out[a : a + 20_000] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+    return out
+
+
+def open_parts(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.ndarray, h: np.ndarray, length: int, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(parts whose windows all start earlier, groups of parts that are open); parts are rows (context, first window, windows).
+
+    Contexts are in the order of the collection; begin: where they are in flat,
+    count: their windows, place: of the anchor in them, h: its hash. Windows are
+    told apart by how far before the anchor they start, in ranges that are
+    halved. All windows of a range hold the same bytes around the anchor, so a
+    context shares none of them with others that differ there; and of parts
+    that are equal as a whole (bytes are compared) only the first stays open.
+    Two halvings leave 83 of 100 bytes that must be equal. A group of over
+    `most` parts is halved further, until at one window a part is equal to all
+    of its group: no group is larger, however common an anchor is.
+    """
+    at, cell, width = np.arange(len(begin)), np.zeros(len(begin), np.int64), length - K + 1
+    low, high = place - count + 1, place.copy()
+    gone, ready, halvings = [np.zeros((0, 3), np.int64)], [], 0
+    while len(at):
+        width, halvings = -(-width // 2), halvings + 1
+        at, cell, low, high = (np.repeat(v, 2) for v in (at, cell, low, high))
+        cell[1::2] += width
+        low, high = np.maximum(low, cell), np.minimum(high, cell + width - 1)
+
+        def only(mask):
+            return at[mask], cell[mask], low[mask], high[mask]
+
+        at, cell, low, high = only(low <= high)
+        anchor = begin[at] + place[at]
+        key = _mixed(_mixed(_slice_hashes(flat, anchor - cell, anchor - cell - width + 1 + length) + cell.astype(np.uint64)) ^ h[at])
+        _, group, sizes = np.unique(key, return_inverse=True, return_counts=True)
+        shared = sizes[group] > 1
+        (at, cell, low, high), group, anchor = only(shared), group[shared], anchor[shared]
+        start, size = anchor - high, high - low + length
+        whole = _mixed(_slice_hashes(flat, start, start + size) + (low * 256 + high).astype(np.uint64))
+        order = np.lexsort((at, whole, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (group[order][1:] != group[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        again, first = order[~new], first[~new]
+        alike = (size[again] == size[first]) & (low[again] == low[first])
+        again, first = again[alike], first[alike]
+        again = again[_equal_slices(flat, start[again], start[first], size[again])]
+        gone.append(np.stack([at[again], place[at[again]] - high[again], high[again] - low[again] + 1], 1))
+        left = np.ones(len(at), bool)
+        left[again] = False
+        sizes = np.bincount(group[left], minlength=1)
+        left &= sizes[group] > 1
+        if halvings >= 2:
+            done = left & ((sizes[group] <= most) | (width == 1))
+            own = np.flatnonzero(done)
+            own = own[np.argsort(group[own], kind="stable")]
+            if len(own):
+                parts = np.stack([at[own], place[at[own]] - high[own], high[own] - low[own] + 1], 1)
+                ready += np.split(parts, np.flatnonzero(np.diff(group[own])) + 1)
+            left &= ~done
+        at, cell, low, high = only(left)
+    return np.concatenate(gone), ready
+
+
 def _resolve(length: int, most: int):
-    """Contexts of an anchor bucket, whole anchors at a time in builds of about `most` strings: removals by scan partition."""
+    """Contexts of an anchor bucket, whole anchors at a time, their open parts in builds of about `most` strings: removals by scan partition."""
 
-    def solve(rows):
-        rows.sort(key=lambda r: (r[1], r[2], r[3]))  # doc, row, start
-        strings, counts = [r[5] for r in rows], [r[4] for r in rows]
-        # the order of windows: strings by (doc, row, start), then offset; windows of one document overlap in start, so starts are compared
-        docs = np.array([(r[1], r[2]) for r in rows], np.int64)
-        new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1)])
-        rank = (np.cumsum(new) << 33) + np.array([r[3] for r in rows], np.int64)
-        out = []
-        for r, gone in zip(rows, repeated_windows(strings, counts, rank, length)):
+    def build(flat, begin, rank, parts):
+        start = begin[parts[:, 0]] + parts[:, 1]
+        strings = [flat[a : a + n].tobytes() for a, n in zip(start.tolist(), (parts[:, 2] + length - 1).tolist())]
+        for (context, first, _), gone in zip(parts.tolist(), repeated_windows(strings, parts[:, 2].tolist(), rank[parts[:, 0]] + parts[:, 1], length)):
             at = np.flatnonzero(gone)
             if len(at):
-                cut = np.flatnonzero(np.diff(at) > 1) + 1
-                for a in np.split(at, cut):
-                    out.append((r[2], r[3] + int(a[0]), len(a), 0, 0, 0))
-        return np.array(out, SPAN) if out else np.zeros(0, SPAN)
+                for a in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    yield context, first + int(a[0]), len(a)
+
+    def solve(rows):
+        flat = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
+        h, doc, row, s, n, p = (np.concatenate([r[0][k] for r in rows]) for k in range(6))
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        order = np.lexsort((s, row, doc))
+        h, doc, row, s, n, p, begin = (v[order] for v in (h, doc, row, s, n, p, begin))
+        # the order of windows: strings by (doc, row, start), then offset; windows of one document overlap in start, so starts are compared
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+        rank = (np.cumsum(new) << 33) + s
+        gone, groups = open_parts(flat, begin, n, p, h.view(np.uint64), length, most)
+        found, held, size = [gone], [], 0
+        for parts in [*groups, None]:
+            if held and (parts is None or size + len(parts) > most):
+                found.append(np.array([*build(flat, begin, rank, np.concatenate(held))], np.int64).reshape(-1, 3))
+                held, size = [], 0
+            if parts is not None:
+                held.append(parts)
+                size += len(parts)
+        found = np.concatenate(found)
+        out = np.zeros(len(found), SPAN)
+        out["row"], out["s"], out["n"] = row[found[:, 0]], s[found[:, 0]] + found[:, 1], found[:, 2]
+        return out
 
     def run(batches):
-        rows, last = [], None
+        rows, size = [], 0
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(1, 7))):
-                if len(rows) >= most and r[0] != last:
+            columns, texts = [batch.column(k).to_numpy().astype(np.int64) for k in range(1, 7)], batch.column(7).to_pylist()
+            a = 0
+            if size >= most:
+                cuts = np.flatnonzero(columns[0] != np.concatenate([rows[-1][0][0][-1:], columns[0][:-1]]))
+                if len(cuts):
+                    a = int(cuts[0])
+                    rows.append(([c[:a] for c in columns], b"".join(texts[:a])))
                     if len(gone := solve(rows)):
                         yield _packed(1, gone["row"] >> 33, gone)
-                    rows = []
-                rows.append(r)
-                last = r[0]
+                    rows, size = [], 0
+            if a < len(texts):
+                rows.append(([c[a:] for c in columns], b"".join(texts[a:])))
+                size += len(texts) - a
         if rows and len(gone := solve(rows)):
             yield _packed(1, gone["row"] >> 33, gone)
 

@@ -275,3 +275,35 @@ def test_collection_order_in_memory_and_in_files(files_from):
     wanted = sorted(((list(s[k:]) + [-1], i, len(s) - k) for i, s in enumerate(strings) for k in range(len(s) + 1)), key=lambda x: (x[0], x[1]))
     assert list(zip(owner.tolist(), size.tolist())) == [(i, n) for _, i, n in wanted]
     assert transform.tolist() == [strings[i][len(strings[i]) - n - 1] + 1 if n < len(strings[i]) else 0 for _, i, n in wanted]
+
+
+def test_substrings_bound_the_builds_of_common_anchors(monkeypatch):
+    """Edges of a passage in every text: their contexts all share anchors, and more of them meet in one build than it should hold."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).encode()
+    passage, texts = noise(260), []
+    for i in range(300):
+        own = bytearray(passage)
+        if i % 3 == 0:
+            own[rng.randrange(260)] = 65 + i % 5
+        texts.append(noise(rng.randint(0, 90)) + bytes(own) + noise(rng.randint(0, 90)))
+    seen, wanted = set(), set()
+    for i, text in enumerate(texts):
+        for s in range(len(text) - 99):
+            wanted |= {(i, s)} if text[s : s + 100] in seen else set()
+            seen.add(text[s : s + 100])
+    r = substrings._ordered(substrings._runs_of(texts, range(300), range(300), [0] * 300, 100))
+    first, number = substrings._repeats(r)
+    ask = r[first & (np.bincount(number[first])[number] > 1)]
+    assert np.bincount(np.unique(ask["h"], return_inverse=True)[1]).max() > 150
+    sizes, order = [], substrings.collection_order
+    monkeypatch.setattr(substrings, "collection_order", lambda strings, *a: sizes.append(len(strings)) or order(strings, *a))
+    contexts = [{"key": 0, "h": int(x["h"].astype(np.int64)), "doc": int(x["doc"]), "row": int(x["row"]), "s": int(x["s"]), "n": int(x["n"]), "p": int(x["p"]), "text": texts[x["row"]][x["s"] : int(x["s"]) + int(x["n"]) + 99]} for x in ask]
+    contexts.sort(key=lambda x: x["h"])
+    names = [field.split()[0] for field in substrings._CONTEXTS.split(", ")]
+    batches = [pa.RecordBatch.from_pylist(contexts[a : a + 70]).select(names) for a in range(0, len(contexts), 70)]
+    late = [np.frombuffer(d, substrings.SPAN) for b in substrings._resolve(100, 50)(batches) for d in b.column(2).to_pylist()]
+    got = {(int(x["row"]), int(x["s"]) + k) for x in np.concatenate([r[~first][["row", "s", "n"]], *[x[["row", "s", "n"]] for x in late]]) for k in range(x["n"])}
+    assert got == wanted and sizes and max(sizes) <= 50
