@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies (five-word shingles, similarity 0.8 or more) stays, the smallest id; of texts without words one stays."""
-    return simhash.drop_copies(docs)
+    """One document of each group stays, the smallest id; groups are linked by SimHash as in op3 (two bits at most), and by five-word shingles of similarity 0.8 or more. Of texts without words one stays."""
+    return simhash.drop_copies(docs, radius=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -321,12 +321,14 @@ def common_shingles(rows: DataFrame, words: int, every: int, least: int, most: i
     return found[::-1].astype(np.int64).view(np.uint64)
 
 
-def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_every: int = 20, max_common: int = 500_000, max_broadcast: int = 500_000) -> DataFrame:
+def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_every: int = 20, max_common: int = 500_000, max_broadcast: int = 500_000, radius: int | None = None) -> DataFrame:
     """__row (the place in docs), doc_id, keeper (the __row of the document of its class that stays).
 
     A class holds documents linked by a Jaccard similarity of `similarity` or
-    more of their sets of `words`-word shingles. The search is exact: it uses
-    no SimHash, whose bits differ in a sixth at that similarity, but prefixes
+    more of their sets of `words`-word shingles and, where a radius is given,
+    also those whose fingerprints (of three-word shingles) differ in so many
+    bits at most, which `link_fingerprints` finds. The search by similarity is
+    exact: it uses no SimHash, whose bits differ in a sixth at 0.8, but prefixes
     of the sets in an order that all of them share. Any order gives the same
     links; so that few texts meet, shingles that a sample of the texts shows
     to be common come last. Equal sets are one node, and of prefix shingles
@@ -361,7 +363,9 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
         ordered = late[order]
         for batch in batches:
             digests, sizes, maps, prefixes = [], [], [], []
-            for h in shingle_sets([t or "" for t in batch.column(2).to_pylist()], words):
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            fps = [0 if radius is None else fingerprint(shingle_hashes(t, 3)) for t in texts]
+            for h in shingle_sets(texts, words):
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
                 maps.append(parity_map(h))
@@ -370,9 +374,9 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
                     rank = np.where(ordered[at] == h, order[at] + 1, 0)
                     h = h[np.argsort(rank, kind="stable")]
                 prefixes.append(h[: prefix_length(len(h), similarity)].tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.binary())], ["__row", "doc_id", "digest", "size", "map", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["__row", "doc_id", "digest", "size", "map", "prefix", "fp"])
 
-    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size int, map binary, prefix binary"), "prints")
+    every = stage(rows.mapInArrow(prints, "__row long, doc_id long, digest binary, size int, map binary, prefix binary, fp long"), "prints")
     # the prefix stays out of the aggregate: equal sets are one node, which has its prefix in its own row
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
     texts = stage(every.groupBy("digest").agg(first).select("digest", F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id")), "texts")
@@ -434,6 +438,8 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
 
     seen = stage(led(prefix), "candidates")
     links = one = verified(seen)
+    alike = _linked_nodes(every, texts, radius)
+    links = links.unionByName(alike)
     mixed = parted(links)
     more = stage(led(mixed.where("part <> most")).join(seen, ["a", "b"], "left_anti"), "candidates")
     two = verified(more)
@@ -448,7 +454,7 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     last = stage(cross.join(found, ["a", "b"], "left_anti"), "candidates")
     three = verified(last)
     parts = components(links.unionByName(three))
-    unstage(one, two, three, seen, more, last, mixed, prefix)
+    unstage(one, two, three, seen, more, last, mixed, prefix, alike)
     classes = texts.join(parts, texts["node"] == parts["node"], "left").select("digest", texts["node"], "doc_id", F.coalesce("component", texts["node"]).alias("class"))
     keep = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("keep"))
     result = stage(classes.join(keep, "class").select("digest", F.col("keep.node").alias("keeper")), "classes")
@@ -457,6 +463,21 @@ def copy_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     return out
 
 
+def _linked_nodes(every: DataFrame, texts: DataFrame, radius: int | None) -> DataFrame:
+    """Links (a, b) of nodes that connect all rows with fingerprints within the radius (none without one), staged."""
+    own = every.select("digest", "fp").distinct().join(texts.select("digest", "node"), "digest").select("node", "fp")
+    if radius is None:
+        return own.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    own = stage(own, "node-prints")
+    first = stage(own.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
+    equal = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = (first.select(F.col("fp").alias(k), F.col("first").alias(f"node_{k}")) for k in ("a", "b"))
+    near = link_fingerprints(first.select("fp"), radius).join(one, "a").join(two, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    out = stage(equal.unionByName(near).where("a <> b").distinct(), "print-links")
+    unstage(own, first)
+    return out
+
+
 def _sets(words: int):
     def run(batches):
         import pyarrow as pa

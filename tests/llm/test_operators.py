@@ -188,6 +188,42 @@ def test_drop_copies_finds_all_pairs_at_the_bound(spark):
     assert left == left_by_brute_force(texts) and len(left) == 115
 
 
+def test_the_simhash_stage_links_by_fingerprints_and_by_similarity(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts: dict = {}
+    for i in range(0, 60, 3):  # i and i+1 by fingerprint alone, i+1 and i+2 by similarity alone
+        phrase, tail = f"{prose(3)} ", prose(60)
+        texts[i + 1], texts[i], texts[i + 2] = phrase * 200 + prose(60), phrase * 200 + tail, phrase * 2 + tail
+    base = prose(200).split()
+    for i in range(60, 100):
+        own = list(base)
+        own[rng.randrange(200)] = word()
+        texts[i] = " ".join(own)
+    texts |= {i: prose(30) for i in range(100, 120)} | {120: "", 121: " \n", 122: None}
+    plain = {i: t or "" for i, t in texts.items()}
+    prints, sets, parent = {i: plain_fingerprint(t) for i, t in plain.items()}, shingle_sets(plain), {i: i for i in plain}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in plain:
+        for b in plain:
+            close = (prints[a] ^ prints[b]).bit_count() <= 2
+            if a < b and (close or not sets[a] and not sets[b] or len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    wanted = {i for i in plain if root(i) == i}
+    assert wanted < left_by_brute_force(plain)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()} == wanted
+
+
 def test_warc_equals_sql(spark, sf):
     assert spark_rows(QUERIES["op4_warc"](spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == duck_rows(ORACLES["op4_warc"], sf)
 
