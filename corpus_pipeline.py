@@ -44,8 +44,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 ids; a null or empty text is its end id."""
-    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
+    """Pieces of all documents in sequences of at most 4096 ids; a null or empty text is its end id. Workers give memory back, as executors are full from the stages before."""
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), frugal=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("decontamination", drop_leaks), ("pii", mask_personal_data), ("packing", pack_sequences)]

@@ -130,7 +130,7 @@ def _learner(common: frozenset[int]):
 
 
 def table_of(key, common: frozenset[int]) -> PieceTable:
-    return held(("templates", key), lambda: PieceTable(_learner(common), np.uint64, b" \t\n\r"))
+    return held(("templates", key), lambda: PieceTable(_learner(common), np.uint64, b" \t\n\r", frugal=True), idle=2)
 
 
 class Parsed:

@@ -36,14 +36,14 @@ WINDOW = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", frugal: bool = False) -> DataFrame:
     """doc_id, route and ids (little-endian 16-bit, with the end id) of each document; beside, rows without ids that carry sums of term counts."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(path)
+        enc = encoder(path, frugal)
         size = enc.library.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids need more than 16 bits")

@@ -9,6 +9,10 @@ were learned, and what differs is learned on its own.
 from __future__ import annotations
 
 import ctypes
+import gc
+import sys
+import threading
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +22,8 @@ from lexora.llm.common import spread
 _BASE = 0x2545F4914F6CDD1D
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-BLOCK = 1 << 20
+BLOCK = 1 << 19  # bytes whose pieces are looked up at once
+COMPARED = 1 << 14  # pieces whose bytes are compared at once
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +55,37 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 _HELD: dict[object, object] = {}
-
-
-def held(key, make: Callable[[], object]):
-    """make(), kept by the worker for the next task that asks for key; only one thing is kept, as workers go from stage to stage."""
-    if key not in _HELD:
-        _HELD.clear()
-        _give_back()
-        _HELD[key] = make()
-    return _HELD[key]
+_LOCK = threading.RLock()
+
+
+def held(key, make: Callable[[], object], idle: float | None = None):
+    """make(), kept by the worker for the next task that asks for key; only one thing is kept, as workers go from stage to stage. idle: seconds without use after which it goes too."""
+    with _LOCK:
+        if key not in _HELD:
+            _HELD.clear()
+            gc.collect()  # what was kept may refer to itself
+            _give_back()
+            _HELD[key] = make()
+            if idle is not None:
+                threading.Thread(target=_watch, args=(key, idle, sys.getrefcount(_HELD[key])), daemon=True).start()
+        return _HELD[key]
+
+
+def _watch(key, idle: float, alone: int) -> None:
+    """Lets go of what is kept under key when nothing else refers to it for so long."""
+    used = time.monotonic()
+    while True:
+        time.sleep(idle / 4)
+        with _LOCK:
+            if key not in _HELD:
+                return
+            if sys.getrefcount(_HELD[key]) > alone:
+                used = time.monotonic()
+            elif time.monotonic() - used >= idle:
+                _HELD.clear()
+                gc.collect()
+                _give_back()
+                return
 
 
 def _give_back() -> None:
@@ -130,10 +157,10 @@ class HashIndex:
 
 
 class PieceTable:
-    """What ``learn`` gave for each distinct piece. learn: pieces (bytes) to (all numbers, how many each piece has). most: pieces kept before the table is emptied."""
+    """What ``learn`` gave for each distinct piece. learn: pieces (bytes) to (all numbers, how many each piece has). most: pieces kept before the table is emptied. frugal: free memory goes back after each batch, which takes some time."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 500_000) -> None:
-        self.learn, self.kind, self.most = learn, kind, most
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind, separators: bytes = b" ", most: int = 500_000, frugal: bool = False) -> None:
+        self.learn, self.kind, self.most, self.frugal = learn, kind, most, frugal
         self.separates = np.zeros(256, bool)
         self.separates[list(separators)] = True
         self.forget()
@@ -161,14 +188,9 @@ class PieceTable:
             new, raw = missing[first], data.tobytes()
             self._store([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             codes[missing] = self.index.add(hashes[new])[own]
-        lengths = ends - starts
-        same = lengths == self.raw_size.values[codes]
+        same = self._same(codes, data, starts, ends - starts)
         if same.all():
-            at = spread(self.raw_at.values[codes], lengths)
-            equal = self.raw.values[at] == data[spread(starts, lengths)]
-            if equal.all():
-                return codes
-            same = np.add.reduceat(~equal, np.cumsum(lengths) - lengths) == 0
+            return codes
         # equal hashes of different pieces
         raw, codes = data.tobytes(), codes.copy()
         for k in np.flatnonzero(~same).tolist():
@@ -176,6 +198,18 @@ class PieceTable:
             codes[k] = self.index.keys.add(np.array([0], np.uint64))  # in the arrays, but not to be found
         return codes
 
+    def _same(self, codes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes that were learned for its code; some pieces at a time, as each byte takes two places."""
+        same = lengths == self.raw_size.values[codes]
+        for at in range(0, len(codes), COMPARED):
+            own = at + np.flatnonzero(same[at : at + COMPARED])
+            if len(own):
+                n = lengths[own]
+                differs = self.raw.values[spread(self.raw_at.values[codes[own]], n)] != data[spread(starts[own], n)]
+                if differs.any():
+                    same[own] = np.add.reduceat(differs, np.cumsum(n) - n) == 0
+        return same
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all texts, how many each text has); texts must not be bound by more than their pieces."""
         if not texts:
@@ -187,6 +221,8 @@ class PieceTable:
                 f, n = self._block(texts[at : k + 1])
                 flat.append(f), sizes.append(n)
                 at, held = k + 1, 0
+        if self.frugal and sum(map(len, texts)) >= BLOCK:
+            _give_back()
         return np.concatenate(flat), np.concatenate(sizes)
 
     def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

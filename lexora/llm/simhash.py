@@ -273,7 +273,7 @@ def _word_codes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, in ascending order; of all words if there are fewer."""
-    table, out = held("words", lambda: PieceTable(_word_codes, np.uint64, b" " + _SPACES)), []
+    table, out = held("words", lambda: PieceTable(_word_codes, np.uint64, b" " + _SPACES, frugal=True), idle=2), []
     for a, b in batched(texts):
         codes, sizes = table.encode([t.encode("utf-8", "surrogatepass") for t in texts[a:b]])
         hashes = np.zeros(len(codes), np.uint64)

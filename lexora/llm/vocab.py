@@ -24,6 +24,7 @@ from lexora.llm.pieces import HashIndex, PieceTable, held
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NEVER = 1 << 30
+MERGED = 4_000  # words that are merged at once
 _START = "\x00"
 _NEVER_IN = (_START, *"\x0b\x0c\x1c\x1d\x1e\x1f\x85")
 _BETWEEN = ("  ", " \n", "\n ", "\n\n", *map(chr, [9, 13, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -83,8 +84,8 @@ class Merges:
         for high in (2, 4, 6, 8, 10, 12, 16, 20, 24, self.longest):
             own = np.flatnonzero((sizes > low) & (sizes <= high))
             low = high
-            for at in range(0, len(own), 20_000):
-                some = own[at : at + 20_000]
+            for at in range(0, len(own), MERGED):
+                some = own[at : at + MERGED]
                 ids, n = self._merged(data, starts[some], sizes[some], high)
                 out_sizes[some] = n
                 parts.append((some, ids))
@@ -133,9 +134,9 @@ class Merges:
 
 
 class Encoder:
-    """max_pieces bounds the table of a worker: it is emptied when full."""
+    """max_pieces bounds the table of a worker: it is emptied when full. frugal: as in PieceTable."""
 
-    def __init__(self, path: str, max_pieces: int = 700_000):
+    def __init__(self, path: str, max_pieces: int = 700_000, frugal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -147,7 +148,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f)["model"])
         self.alphabet = byte_table()
-        self.table = PieceTable(self._learn, np.uint32, b" \t\n\r" if self.lowers else b" ", max_pieces)
+        self.table = PieceTable(self._learn, np.uint32, b" \t\n\r" if self.lowers else b" ", max_pieces, frugal)
 
     def _words(self, pieces: list[str]) -> tuple[list[str], np.ndarray]:
         """(the words of all pieces, how many each has)."""
@@ -253,8 +254,8 @@ class Encoder:
         return flat, sizes
 
 
-def encoder(path: str) -> Encoder:
-    return held(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, frugal: bool = False) -> Encoder:
+    return held(("encoder", path, frugal), lambda: Encoder(path, frugal=frugal))
 
 
 def batched(texts: list[str], most: int = 4_000_000):

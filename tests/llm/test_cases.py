@@ -1,7 +1,11 @@
 """Defined cases of all operators and stages: nulls, empty and very long texts, ties, repeated rows, empty tables, columns with clashing names; likenesses, recall and precision."""
 
+import gc
 import random
 import re
+import time
+import tracemalloc
+import weakref
 
 import numpy as np
 import pytest
@@ -157,6 +161,51 @@ def test_pieces_with_equal_hashes_differ(monkeypatch):
     assert flat.tolist() == [1, 2, 3, 1, 4, 2] and sizes.tolist() == [4, 0, 2]
 
 
+def test_what_a_worker_keeps_goes_for_the_next_and_when_idle(monkeypatch):
+    class Kept:
+        def __init__(self):
+            self.learn = self.own  # refers to itself, as an encoder does
+
+        def own(self):
+            return None
+
+    monkeypatch.setattr(pieces, "_HELD", {})
+    gc.disable()
+    try:
+        first = weakref.ref(pieces.held("first", Kept))
+        second = pieces.held("second", Kept, idle=0.2)
+        assert first() is None
+    finally:
+        gc.enable()
+    time.sleep(0.6)
+    assert pieces.held("second", Kept) is second  # in use
+    gone = weakref.ref(second)
+    del second
+    time.sleep(1.0)
+    assert gone() is None and not pieces._HELD
+
+
+def test_looking_up_pieces_takes_little_memory():
+    table = pieces.PieceTable(lambda ps: (np.array([len(p) for p in ps], np.uint32), np.ones(len(ps), np.int64)), np.uint32)
+    texts = [b" ".join(b"w%d" % (k * j % 5000) for k in range(20_000)) for j in range(1, 40)]
+    table.encode(texts[:1])
+    pieces.powers(1 << 21)
+    tracemalloc.start()
+    try:
+        flat, sizes = table.encode(texts)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(flat) == 39 * 20_000 and flat.tolist() == [len(p) for t in texts for p in t.split()]
+    assert peak - kept < 30e6
+
+
+def test_pieces_with_equal_hashes_and_lengths_differ(monkeypatch):
+    monkeypatch.setattr(pieces, "slice_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    table = pieces.PieceTable(lambda ps: (np.array([p[0] for p in ps], np.int64), np.ones(len(ps), np.int64)), np.int64)
+    assert table.encode([b"a b cc b"])[0].tolist() == [97, 98, 99, 98]
+
+
 def test_simhash_links_in_a_large_bucket(spark):
     rng = random.Random(4)
     base = rng.getrandbits(64)
