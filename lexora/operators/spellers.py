@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from lexora.errors import SpellerNotAvailable, SpellerProcessError
 from lexora.functions import text as T
+from lexora.operators import nearest
 from lexora.staging import stage, unstage
 
 MAX_DISTANCE, MAX_SUGGESTIONS = 2, 3
 #: A dictionary of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: A dictionary of at most this many rows is looked up in packed buckets, about 40 bytes a row.
+LOOKUP_ROWS = 3_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,32 +35,65 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _entry(language: Column, word: Column) -> Column:
+    return F.concat_ws("\0", language, word)
+
+
+def lacking(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:
+    """Rows of words(language, ...) whose lower-cased word is not in known(language, word).
+
+    Up to LOOKUP_ROWS rows are broadcast, packed in buckets by hash: an eighth of the rows, without a row's overhead for each
+    word. So words stay where they are; only with a larger dictionary are they joined by shuffle.
+    """
+    known = known.select("language", F.col("word").alias("__lower")).where("language is not null and __lower is not null")
+    count = known.limit(LOOKUP_ROWS + 1).count()
+    rows = words.withColumn("__lower", F.lower(word))
+    if count > LOOKUP_ROWS:
+        return rows.join(known.distinct().hint("merge"), ["language", "__lower"], "left_anti").select(*words.columns)
+    bucket = F.pmod(F.xxhash64("language", "__lower"), F.lit(max(1, count // 8))).alias("__bucket")
+    packed = known.groupBy(bucket).agg(F.collect_set(_entry(F.col("language"), F.col("__lower"))).alias("__entries"))
+    met = rows.withColumn("__bucket", bucket).join(F.broadcast(packed), "__bucket", "left")
+    hit = F.col("language").isNotNull() & F.array_contains("__entries", _entry(F.col("language"), F.col("__lower")))
+    return met.where(~F.coalesce(hit, F.lit(False))).select(*words.columns)
+
+
+def compounds(missing: DataFrame, known: DataFrame) -> DataFrame:
+    """(language, word) of the words(language, word) with two or more parts, all of them in known."""
+    joined = missing.select("language", F.lower("word").alias("whole")).where(F.col("whole").rlike("['-]")).distinct()
+    parts = joined.select("language", "whole", F.explode(F.filter(F.split("whole", "['-]"), lambda p: F.length(p) > 1)).alias("word"))
+    several = parts.groupBy("language", "whole").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("language", F.col("whole").alias("word"))
+    return several.join(lacking(parts, known).select("language", F.col("whole").alias("word")).distinct(), ["language", "word"], "left_anti")
+
+
+def accepted(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(language, word): what is known, and the compounds of known parts among words(language, word); staged."""
+    known = known.select("language", "word")
+    return stage(known.unionByName(compounds(lacking(words.select("language", "word"), known), known)), "accepted")
+
+
 def unknown(words: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of words(language, word, ...) that are neither in known(language, word) nor compounds of known parts."""
-    known = known.select("language", F.col("word").alias("__lower")).distinct()
-    hint = small(known)
-    missing = words.withColumn("__lower", F.lower("word")).join(hint, ["language", "__lower"], "left_anti")
-    joined = missing.where(F.col("__lower").rlike("['-]")).select("language", "__lower").distinct()
-    parts = joined.select("language", F.col("__lower").alias("whole"), F.explode(F.filter(F.split("__lower", "['-]"), lambda p: F.length(p) > 1)).alias("__lower"))
-    found = parts.join(hint.withColumn("hit", F.lit(1)), ["language", "__lower"], "left").groupBy("language", "whole").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
-    good = found.where("n >= 2 and n = hits").select("language", F.col("whole").alias("__lower"))
-    return missing.join(good, ["language", "__lower"], "left_anti").drop("__lower")
+    return lacking(words, accepted(words, known))
 
 
 def suggestions(words: DataFrame, dictionary: DataFrame, distance: int = MAX_DISTANCE, most: int = MAX_SUGGESTIONS) -> DataFrame:
     """word, suggestions (array, best first) for distinct lower-cased words(word); dictionary(word, pos).
 
     Candidates share the first letter, differ in length by `distance` at most
-    and are within that many byte edits. They are found by an equi join on
-    deletion neighbourhoods, which loses none, in place of comparing all words
-    of a block; ties go to the shorter, then to the earlier in the dictionary.
+    and are within that many byte edits. They are found by deletion
+    neighbourhoods, which lose none, in place of comparing all words of a
+    block; ties go to the shorter, then to the earlier in the dictionary.
     """
-    lower = words.select(F.lower("word").alias("word")).distinct()
-    entries = dictionary.select(F.lower("word").alias("candidate"), "pos").groupBy("candidate").agg(F.min("pos").alias("pos"))
+    lower = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
+    entries = dictionary.select(F.lower("word").alias("candidate"), "pos").where("candidate is not null").groupBy("candidate").agg(F.min("pos").alias("pos"))
+    if distance in (1, 2):
+        lower, entries = stage(lower, "asked"), stage(entries, "entries")  # they are counted first
+        return nearest.top(lower, entries, distance, most)
     # both share the first letter, so it is part of the key
     key = lambda c: F.explode(F.transform(T.deletions(F.col(c), distance), lambda d: F.concat(F.substring(c, 1, 1), F.lit(":"), d))).alias("key")
     left, right = lower.select("word", key("word")), entries.select("candidate", "pos", key("candidate"))
-    pairs = left.join(right, "key").where(F.abs(F.length("word") - F.length("candidate")) <= distance)
+    # a neighbourhood is many times its word, which the planner doesn't see: never to the driver
+    pairs = left.join(right.hint("merge"), "key").where(F.abs(F.length("word") - F.length("candidate")) <= distance)
     pairs = pairs.select("word", "candidate", "pos").distinct().withColumn("distance", T.byte_levenshtein(F.col("word"), F.col("candidate"))).where(F.col("distance") <= distance)
     order = Window.partitionBy("word").orderBy("distance", F.length("candidate"), "pos", "candidate")
     top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
