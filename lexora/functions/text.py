@@ -80,8 +80,13 @@ def excerpts(text: Column, items: Column, fields: tuple[str, ...], start: str =
 
 
 def _excerpt(near: Column, at: Column, begin: Column, offset: Column, length: Column, whole: Column, radius: int) -> Column:
-    inner = F.trim(F.regexp_replace(near.substr((at + 1).cast("int"), (length + 2 * radius).cast("int")), r"[\p{Z}\t\n\x0B\f\r\x85]++", " "))
-    return F.concat(F.when(begin > 0, "...").otherwise(""), inner, F.when(offset + length + radius < whole, "...").otherwise(""))
+    return window(near.substr((at + 1).cast("int"), (length + 2 * radius).cast("int")), begin > 0, offset + length + radius < whole)
+
+
+def window(inner: Column, cut_before: Column, cut_after: Column) -> Column:
+    """An excerpt of the text around a word, and whether there is more before and after it."""
+    inner = F.trim(F.regexp_replace(inner, r"[\p{Z}\t\n\x0B\f\r\x85]++", " "))
+    return F.concat(F.when(cut_before, "...").otherwise(""), inner, F.when(cut_after, "...").otherwise(""))
 
 
 def is_blank(text: Column) -> Column:

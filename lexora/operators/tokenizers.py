@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexora.functions import patterns as P
 from lexora.functions import text as T
 from lexora.functions.text import running
+from lexora.operators import prose as prose_words
 
 MIN_LENGTH = 4
 
@@ -65,11 +66,19 @@ def traced(tokens: Column, segments: Column, original: Column) -> Column:
 def words(fragments: DataFrame, min_length: int = MIN_LENGTH, ignore: tuple[str, ...] = (), excerpts: bool = False) -> DataFrame:
     """A row per word: fragment columns without the texts, word_idx, word, line (in the processed text), parent, and in the original offset, original_line, original_column and, on demand, the excerpt.
 
-    All places are found inside the fragment's row, so that no word carries the text with it.
+    Prose is scanned over many texts at once; places in identifiers are found inside the fragment's row. No word carries the text with it.
     """
-    prosaic = F.col("mode").isin("prose", "docblock")
-    tokens = F.when(prosaic, prose(F.col("text"), min_length)).when(F.col("mode") == "identifier", identifier(F.col("text"), min_length, ignore))
-    tokens = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.when(prosaic, t["line"]).otherwise(1).alias("line"), t["column"].alias("column"), t["text"].alias("text")))
+    kept = [c for c in fragments.columns if c not in ("text", "original_text", "offsets")]
+    fields = ["word", "line", "offset", "original_line", "original_column", *["excerpt"] * excerpts]
+    prosaic = prose_words.words(fragments.where(F.col("mode").isin("prose", "docblock")), kept, min_length, "text", excerpts, "offsets", "original_text")
+    if excerpts:
+        prosaic = prosaic.withColumn("excerpt", T.window(F.col("window"), F.col("cut_before"), F.col("cut_after")))
+    prosaic = prosaic.select(*kept, F.lit(None).cast("string").alias("parent"), "word_idx", *fields)
+    return prosaic.unionByName(_identifier_words(fragments.where("mode = 'identifier'"), kept, min_length, ignore, excerpts))
+
+
+def _identifier_words(fragments: DataFrame, kept: list[str], min_length: int, ignore: tuple[str, ...], excerpts: bool) -> DataFrame:
+    tokens = F.transform(identifier(F.col("text"), min_length, ignore), lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("line"), t["column"].alias("column"), t["text"].alias("text")))
     rows = fragments.withColumn("__tokens", tokens)
     moved = F.col("offsets").isNotNull() & (F.size("offsets") > 0)
     still = F.transform("__tokens", lambda t: F.struct(t["text"].alias("text"), t["line"].alias("line"), t["start"].alias("offset"), t["line"].alias("original_line"), t["column"].alias("original_column")))
@@ -78,6 +87,5 @@ def words(fragments: DataFrame, min_length: int = MIN_LENGTH, ignore: tuple[str,
     if excerpts:
         found = T.excerpts(F.col("original_text"), found, fields, "offset")
         fields = (*fields, "excerpt")
-    kept = [c for c in fragments.columns if c not in ("text", "original_text", "offsets")]
-    rows = rows.select(*kept, F.when(F.col("mode") == "identifier", F.col("text")).alias("parent"), F.posexplode(found).alias("word_idx", "__word"))
+    rows = rows.select(*kept, F.col("text").alias("parent"), F.posexplode(found).alias("word_idx", "__word"))
     return rows.select("*", *[F.col(f"__word.{f}").alias("word" if f == "text" else f) for f in fields]).drop("__word")

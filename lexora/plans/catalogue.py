@@ -91,14 +91,10 @@ def document_fragments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str, excerpts: bool = False) -> DataFrame:
-    """A row per word with its place; the excerpt on demand. The text stays behind."""
+    """A row per word with its place; what its excerpt is made of on demand. The text stays behind."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), "text")
-    fields = ("start", "line", "column", "text")
-    found = tokenizers.prose(F.col("text"))
-    if excerpts:
-        found, fields = T.excerpts(F.col("text"), found, fields), (*fields, "excerpt")
-    names = {"start": "offset", "text": "word"}
-    return docs.select("doc_id", "language", F.posexplode(found).alias("word_idx", "t")).select("doc_id", "language", "word_idx", *[F.col(f"t.{f}").alias(names.get(f, f)) for f in fields])
+    rows = tokenizers.prose_words.words(docs, ["doc_id", "language"], tokenizers.MIN_LENGTH, "text", excerpts)
+    return rows.withColumnRenamed("original_column", "column").drop("original_line")
 
 
 def plain_words(spark: SparkSession, sf: str) -> DataFrame:
