@@ -53,8 +53,8 @@ class Filter:
 
 def dictionary_filter(known: DataFrame) -> Filter:
     """known(language, word)."""
-    words = known.select("language", F.col("word").alias("__lower")).distinct()
-    return Filter("dictionary", 1000, lambda df: df.withColumn("__lower", F.lower("word")).join(spellers.small(words), ["language", "__lower"], "left_anti").drop("__lower"))
+    words = known.select("language", "word").distinct()
+    return Filter("dictionary", 1000, lambda df: spellers.lacking(df, words))
 
 
 def pattern_filter(patterns: list[str]) -> Filter:

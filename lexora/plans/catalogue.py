@@ -103,14 +103,31 @@ def plain_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.explode(found).alias("word"))
 
 
-def corpus_dictionary(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
-    """word, language, pos, source; pos is an order that doesn't depend on partitions. Staged, as it is read often; bench: also the words of the benchmark."""
-    own = plain_words(spark, sf).select("doc_id", "language", F.lower("word").alias("word")).distinct().groupBy("language", "word").count().where(F.col("count") >= MIN_DOCS)
+def doc_words(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, language, lower-cased word, n: a row per document and distinct word."""
+    docs = table(spark, sf, "documents")
+    rows = tokenizers.prose_words.counted(docs.select("doc_id", F.col("lang").alias("language"), "text"), ["doc_id", "language"], tokenizers.MIN_LENGTH)
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id", "language", "word").agg(F.sum("n").alias("n"))  # a document in several rows
+
+
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """language, lower-cased word, n (how often it stands), docs (documents that have it); staged."""
+    return stage(doc_words(spark, sf).groupBy("language", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "vocabulary")
+
+
+def benchmark_words(spark: SparkSession, sf: str) -> DataFrame:
     found = F.filter(F.regexp_extract_all("text", F.lit(P.PROSE), F.lit(0)), lambda w: F.length(w) >= tokenizers.MIN_LENGTH)
-    rows = own.select("word", "language", F.lit("corpus").alias("source"))
+    return table(spark, sf, "benchmark").select(F.explode(found).alias("word")).select(F.lower("word").alias("word")).distinct()
+
+
+def corpus_dictionary(spark: SparkSession, sf: str, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    """word, language, pos, source; pos is an order that doesn't depend on partitions. Staged, as it is read often; bench: also the words of the benchmark; vocab: vocabulary(), if it is there."""
+    vocab = vocab if vocab is not None else vocabulary(spark, sf)
+    rows = vocab.where(F.col("docs") >= MIN_DOCS).select("word", "language", F.lit("corpus").alias("source"))
     if bench:
-        words = table(spark, sf, "benchmark").select(F.explode(found).alias("word")).select(F.lower("word").alias("word")).distinct()
-        rows = rows.unionByName(words.select("word", F.lit(None).cast("string").alias("language"), F.lit("benchmark").alias("source")))
+        rows = rows.unionByName(benchmark_words(spark, sf).select("word", F.lit(None).cast("string").alias("language"), F.lit("benchmark").alias("source")))
     return stage(rows.select("word", "language", F.lit(0).cast("long").alias("pos"), "source"), "dictionary")
 
 
@@ -118,26 +135,33 @@ def languages_of(spark: SparkSession, sf: str) -> list[str]:
     return [r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect()]  # a handful
 
 
-def known_words(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
-    return stage(D.for_languages(corpus_dictionary(spark, sf, bench), languages_of(spark, sf)), "known")
+def known_words(spark: SparkSession, sf: str, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    return stage(D.for_languages(corpus_dictionary(spark, sf, bench, vocab), languages_of(spark, sf)), "known")
+
+
+def accepted_words(spark: SparkSession, sf: str, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    """(language, word) of the known words and of the compounds of such that the documents have; staged."""
+    vocab = vocab if vocab is not None else vocabulary(spark, sf)
+    return spellers.accepted(vocab, known_words(spark, sf, bench, vocab))
 
 
-def unknown_words(spark: SparkSession, sf: str, bench: bool = True) -> DataFrame:
-    """(language, word) of the distinct unknown words, lower-cased; staged."""
-    vocabulary = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
-    return stage(spellers.unknown(vocabulary, known_words(spark, sf, bench)), "unknown")
+def unknown_words(spark: SparkSession, sf: str, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    """Rows of the vocabulary of the distinct unknown words, lower-cased; staged."""
+    vocab = vocab if vocab is not None else vocabulary(spark, sf)
+    return stage(spellers.lacking(vocab, accepted_words(spark, sf, bench, vocab)), "unknown")
 
 
-def unknown_tokens(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True) -> DataFrame:
-    """Tokens that are unknown; each distinct word is checked once."""
-    missing = unknown_words(spark, sf, bench).withColumnRenamed("word", "__lower")
-    rows = tokens(spark, sf, excerpts).withColumn("__lower", F.lower("word"))
-    return rows.join(spellers.small(missing), ["language", "__lower"]).drop("__lower")
+def unknown_tokens(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+    """Tokens that are unknown. Only the accepted words are sent to them: of unknown ones there are more the more text there is."""
+    rows = spellers.lacking(tokens(spark, sf, excerpts), accepted_words(spark, sf, bench, vocab))
+    if excerpts:
+        rows = rows.withColumn("excerpt", T.window(F.col("window"), F.col("cut_before"), F.col("cut_after"))).drop(*tokenizers.prose_words.WINDOW)
+    return rows
 
 
-def found(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True) -> DataFrame:
+def found(spark: SparkSession, sf: str, excerpts: bool = False, bench: bool = True, vocab: DataFrame | None = None) -> DataFrame:
     """Findings of the documents, one place per word, without suggestions."""
-    rows = unknown_tokens(spark, sf, excerpts, bench)
+    rows = unknown_tokens(spark, sf, excerpts, bench, vocab)
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"))
     context = F.struct(F.lit("document").alias("source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("attributes"))
     rows = rows.select("*", context.alias("context"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fragment_id"), F.array().cast("array<string>").alias("suggestions"))
@@ -301,8 +325,8 @@ def resolve_locale(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN} SELECT lang AS language, lower(word) AS word, count(*) AS n FROM missing GROUP BY 1, 2")
 def dictionary_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     # counted first, so that each word is looked up once
-    words = plain_words(spark, sf).groupBy("language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return words.join(spellers.small(known_words(spark, sf).select("language", "word")), ["language", "word"], "left_anti")
+    vocab = vocabulary(spark, sf)
+    return spellers.lacking(vocab.select("language", "word", "n"), known_words(spark, sf, vocab=vocab))
 
 
 @query(f"WITH {SQL_TOKENS}, {SQL_DICT} SELECT lang AS language, count(*) AS words FROM known GROUP BY 1")
@@ -320,10 +344,10 @@ SELECT DISTINCT lang AS language, whole AS word FROM c WHERE whole IS NOT NULL A
 def compound_words(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    words = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
-    follow = words.withColumn("next", F.lead("word").over(Window.partitionBy("language").orderBy("word"))).where("next is not null")
+    words = vocabulary(spark, sf)
+    follow = words.select("language", "word").withColumn("next", F.lead("word").over(Window.partitionBy("language").orderBy("word"))).where("next is not null")
     compounds = follow.select("language", F.concat_ws("-", "word", "next").alias("word")).distinct()
-    return spellers.unknown(compounds, known_words(spark, sf))
+    return spellers.unknown(compounds, known_words(spark, sf, vocab=words))
 
 
 SQL_BEST = f"""
@@ -340,7 +364,8 @@ def suggest_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf: str) -> DataFrame:
-    return spellers.suggestions(unknown_words(spark, sf).select("word").distinct(), corpus_dictionary(spark, sf))
+    vocab = vocabulary(spark, sf)
+    return spellers.suggestions(unknown_words(spark, sf, vocab=vocab).select("word").distinct(), corpus_dictionary(spark, sf, vocab=vocab))
 
 
 @query(f"""WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN}, {SQL_BEST},
@@ -359,8 +384,8 @@ def suggestion_formatter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SQL_TOKENS}, {SQL_DICT}, {SQL_UNKNOWN} SELECT doc_id, count(*) AS unknown_words, count(DISTINCT lower(word)) AS distinct_unknown FROM unknown GROUP BY 1")
 def cached_check_fanout(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct word is checked once and fanned out to where it stands."""
-    counts = plain_words(spark, sf).groupBy("doc_id", "language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(spellers.small(unknown_words(spark, sf)), ["language", "word"]).groupBy("doc_id").agg(F.sum("n").alias("unknown_words"), F.count(F.lit(1)).alias("distinct_unknown"))
+    rows = spellers.lacking(doc_words(spark, sf), accepted_words(spark, sf))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("unknown_words"), F.count(F.lit(1)).alias("distinct_unknown"))
 
 
 # --- findings -----------------------------------------------------------------
@@ -368,8 +393,7 @@ def cached_check_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{SQL_ALL} SELECT fingerprint, count(*) AS n FROM found GROUP BY 1")
 def finding_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    words = plain_words(spark, sf).groupBy("doc_id", "language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    rows = spellers.unknown(words, known_words(spark, sf))
+    rows = spellers.lacking(doc_words(spark, sf), accepted_words(spark, sf))
     seed = F.concat(F.lit("document|id="), F.col("doc_id").cast("string"))
     return rows.groupBy(T.fingerprint(seed, F.col("word")).alias("fingerprint")).agg(F.sum("n").alias("n"))
 
@@ -403,37 +427,43 @@ def filter_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return R.baseline_filter(even_baseline(rows)).apply(rows.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _before_and_after(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    vocab = vocabulary(spark, sf)
+    return R.record(found(spark, sf, bench=False, vocab=vocab)), found(spark, sf, vocab=vocab)
+
+
 #: A baseline of all documents from before the words of the benchmark were in the dictionary, and a run of all documents after.
 @query(f"{SQL_BOTH} SELECT DISTINCT fingerprint FROM found0 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)")
 def baseline_outdated(spark: SparkSession, sf: str) -> DataFrame:
-    return R.outdated(R.record(found(spark, sf, bench=False)), found(spark, sf)).select("fingerprint")
+    return R.outdated(*_before_and_after(spark, sf)).select("fingerprint")
 
 
 @query(f"{SQL_BOTH} SELECT DISTINCT fingerprint FROM found0 WHERE fingerprint IN (SELECT fingerprint FROM found)")
 def baseline_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return R.pruned(R.record(found(spark, sf, bench=False)), found(spark, sf)).select("fingerprint")
+    return R.pruned(*_before_and_after(spark, sf)).select("fingerprint")
 
 
 @query(f"""{SQL_BOTH}, a AS (SELECT fingerprint, arg_max(word, idx) AS word FROM found0 GROUP BY 1), b AS (SELECT fingerprint, arg_max(word, idx) AS word FROM found GROUP BY 1)
 SELECT fingerprint, CASE WHEN b.word IS NULL THEN 'first' ELSE 'second' END AS seen_at, coalesce(b.word, a.word) AS word FROM a FULL JOIN b USING (fingerprint)""")
 def baseline_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return R.merged(R.record(found(spark, sf, bench=False), seen_at="first"), R.record(found(spark, sf), seen_at="second")).select("fingerprint", "seen_at", "word")
+    vocab = vocabulary(spark, sf)
+    return R.merged(R.record(found(spark, sf, bench=False, vocab=vocab), seen_at="first"), R.record(found(spark, sf, vocab=vocab), seen_at="second")).select("fingerprint", "seen_at", "word")
 
 
 @query(f"{SQL_BOTH} SELECT lang AS language, lower(word) AS word, count(*) AS n FROM found0 WHERE lower(word) NOT IN (SELECT word FROM bench) GROUP BY 1, 2")
 def filter_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """Findings against the words of the corpus, less those in the words of the benchmark."""
-    bench = D.for_languages(corpus_dictionary(spark, sf).where("source = 'benchmark'"), languages_of(spark, sf))
-    rows = unknown_tokens(spark, sf, bench=False).select("language", "word")
-    return R.chain(rows, [R.dictionary_filter(bench)]).groupBy("language", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    vocab = vocabulary(spark, sf)  # findings by word; the filter looks at nothing else of them
+    bench = D.for_languages(corpus_dictionary(spark, sf, vocab=vocab).where("source = 'benchmark'"), languages_of(spark, sf))
+    return R.chain(unknown_words(spark, sf, bench=False, vocab=vocab), [R.dictionary_filter(bench)]).select("language", "word", "n")
 
 
 @query(f"{SQL_BOTH} SELECT DISTINCT lang AS language, lower(word) AS word FROM unknown0 WHERE lang = 'en' UNION SELECT DISTINCT lang, lower(word) FROM unknown WHERE lang <> 'en'")
 def chain_speller(spark: SparkSession, sf: str) -> DataFrame:
     """English is known to the first speller, with the corpus' own words; other languages fall to the second."""
-    english = D.clean(corpus_dictionary(spark, sf, bench=False).where("language = 'en'"))
-    speller = spellers.ChainSpeller([spellers.WordListSpeller(english, only=("en",)), spellers.WordListSpeller(corpus_dictionary(spark, sf))])
-    words = plain_words(spark, sf).select("language", F.lower("word").alias("word")).distinct()
+    words = vocabulary(spark, sf)
+    english = D.clean(corpus_dictionary(spark, sf, bench=False, vocab=words).where("language = 'en'"))
+    speller = spellers.ChainSpeller([spellers.WordListSpeller(english, only=("en",)), spellers.WordListSpeller(corpus_dictionary(spark, sf, vocab=words))])
     return speller.check(words, with_suggestions=False).select("language", "word")
 
 
